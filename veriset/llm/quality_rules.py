@@ -32,7 +32,7 @@ MIN_WORDS = 50
 #: Histograms are compared from so many characters or words on.
 MIN_CHARS, MIN_HIST_WORDS = 200, 50
 #: Largest Jensen-Shannon distances (square root of the divergence in bits, 0 to 1) that are kept.
-MAX_CHAR_JS, MAX_WORD_JS = 0.30, 0.55
+MAX_CHAR_JS, MAX_WORD_JS = 0.25, 0.31
 
 
 def _repeated(n: Column, windows: Column, ordered: Column) -> Column:
