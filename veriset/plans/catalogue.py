@@ -92,8 +92,9 @@ def _rows(spark, sf, threshold=5):
 
 def _parts(spark, sf, threshold=5):
     rows = _rows(spark, sf, threshold)
-    t = A.per_attribute(rows)
-    p = A.population(rows, A.CELL)
+    # a row an attribute or cell: kept, as several steps below read them
+    t = A.per_attribute(rows).cache()
+    p = A.population(rows, A.CELL).cache()
     e = A.effect_sizes(t, "N")
     return t, p, e
 
