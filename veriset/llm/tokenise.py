@@ -17,10 +17,26 @@ from .common import by_value, worker_cache
 by_value(__name__)
 
 #: Distinct words a worker remembers; beyond it the memory starts anew. About 200 bytes each.
-REMEMBER = 1_000_000
+REMEMBER = 1_500_000
 _ODD = re.compile(r" \s|\s ")
 _ASCII_WS = re.compile(r"[\x20\x09-\x0D]+")
 _END = ".,!?;:"
+#: Words of Latin letters only: one piece for either vocabulary, which the library's merging model takes without the steps around it.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+").fullmatch
+
+
+def _as_symbols() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next free one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_SYMBOLS = _as_symbols()
+
+
+def _symbols(text: str) -> str:
+    return text.encode().decode("latin-1").translate(_SYMBOLS)
 
 
 def version(path: str) -> str:
@@ -80,8 +96,14 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     """Tokens of each text by a byte-level vocabulary that keeps white space; no special tokens are added."""
     t = tokenizer(path)
 
+    pieces = t.model.tokenize
+
     def encode(parts):
-        return [len(e) for e in t.encode_batch_fast([p[1] if isinstance(p, tuple) else " " + p for p in parts], add_special_tokens=False)]
+        out = {p: len(pieces("Ġ" + _symbols(p))) for p in parts if isinstance(p, str) and _LETTERS(p)}
+        rest = [p for p in parts if p not in out]
+        found = t.encode_batch_fast([p[1] if isinstance(p, tuple) else " " + p for p in rest], add_special_tokens=False)
+        out.update(zip(rest, map(len, found)))
+        return [out[p] for p in parts]
 
     cache = _memory("counts:" + path)
     out = []
@@ -110,9 +132,22 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text by a vocabulary that drops white space; no special tokens are added."""
     t = tokenizer(path)
 
+    pieces = t.model.tokenize
+
+    def written(ids):
+        return b"".join(i.to_bytes(4, "little") for i in ids)
+
     def encode(parts):
-        found = t.encode_batch_fast([p[1] if isinstance(p, tuple) else p for p in parts], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
+        low = {p: p.lower() for p in parts if isinstance(p, str) and _LETTERS(p)}
+        known = {w: cache.get(w) for w in low.values()}
+        for w, v in known.items():
+            if v is None:
+                known[w] = written(x.id for x in pieces(_symbols(w)))
+        out = {p: known[w] for p, w in low.items()}
+        rest = [p for p in parts if p not in out]
+        found = t.encode_batch_fast([p[1] if isinstance(p, tuple) else p for p in rest], add_special_tokens=False)
+        out.update(zip(rest, (written(e.ids) for e in found)))
+        return [out[p] for p in parts]
 
     cache = _memory("ids:" + path)
     out = []
