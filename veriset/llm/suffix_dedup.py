@@ -19,6 +19,7 @@ should not name two different texts, whose intervals would be pooled. Extra colu
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -216,7 +217,13 @@ def shard(rows) -> list[tuple[int, int, int]]:
     members: dict[tuple[int, bytes, int], list[tuple[int, int]]] = {}
     for key, doc, first, n, raw in rows:
         members.setdefault((key, raw, n), []).append((doc, first))
-    groups, out = list(members), []
+    # bytes that are the only ones under their key need no array: they repeat if they have several members
+    kinds = Counter(key for key, _, _ in members)
+    groups = [g for g in members if kinds[g[0]] > 1]
+    out: list[tuple[int, int, int]] = []
+    for g, places in members.items():
+        if kinds[g[0]] == 1 and len(places) > 1:
+            out += [(doc, first, first + g[2] + LENGTH - 1) for doc, first in places]
     flags: list = [None] * len(groups)
     at = 0
     while at < len(groups):  # the keys of a shard, in runs of about SHARD bytes that don't split a key
