@@ -7,8 +7,10 @@ place. A chunk counts if it has two lines or more, or a line of ``LONG`` charact
 Of the chunks with equal bytes all but the first (least doc_id, then place) are removed.
 
 Lines of ``LONG`` characters are chunks of their own. Null text is the empty text and stays as it is. Rows that
-repeat a doc_id have equal ids, so their chunks are told apart by place only: such rows are treated alike.
-Extra columns stay. An empty table gives an empty result.
+repeat a doc_id have equal ids, so equal chunks at the same place in them are one: they stay or go together. Rows
+without a doc_id stay whole and don't count. Extra columns stay. An empty table gives an empty result.
+
+Texts are cut into chunks once; the table of chunks is written, and the steps read from it the columns they need.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ ENDS = list("02468ace")
 
 
 def chunked(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_chunks, chunks): chunks is an array of structs (body, n_lines); joined, the bodies are the text."""
-    keep = [F.col(c).alias(f"__{c}") for c in keep]
+    """(doc_id, *keep, bodies, hs): the bodies, joined, are the text; hs has the hash of each chunk that counts, null for the others.
+
+    Of the columns to keep, text is kept as whether it is null.
+    """
+    keep = [(F.col(c).isNull() if c == "text" else F.col(c)).alias(f"__{c}") for c in keep]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.filter(F.split(text_of(), LINE_END), lambda x: x != "").alias("lines"))
     d = d.select("*", F.transform("lines", lambda x: F.md5(x)).alias("h"), F.transform("lines", lambda x: F.length(x) >= LONG).alias("long"), F.size("lines").alias("n"))
     h, long, n = F.col("h"), F.col("long"), F.col("n")
@@ -35,38 +40,35 @@ def chunked(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     d = d.withColumn("ends", F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), ends_here)).otherwise(F.array().cast("array<int>")))
     lines, ends = F.col("lines"), F.col("ends")
     first = lambda j: F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
-    made = F.transform(ends, lambda e, j: F.struct(F.array_join(F.slice(lines, first(j) + 1, e - first(j) + 1), "").alias("body"), (e - first(j) + 1).alias("n_lines")))
-    return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], F.size(ends).alias("n_chunks"), made.alias("chunks"))
+    d = d.withColumn("bodies", F.transform(ends, lambda e, j: F.array_join(F.slice(lines, first(j) + 1, e - first(j) + 1), "")))
+    counts = lambda b, j: (F.length(b) >= LEAST) & ((F.get(ends, j) > first(j)) | (F.length(b) >= LONG))
+    return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], "bodies", F.transform("bodies", lambda b, j: F.when(counts(b, j), F.xxhash64(b))).alias("hs"))
 
 
-def _counts(chunk: Column) -> Column:
-    return (F.length(chunk["body"]) >= LEAST) & ((chunk["n_lines"] >= 2) | (F.length(chunk["body"]) >= LONG))
+def repeated(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """(doc_id, gone): the chunks to remove, as structs (j, h), from a stored ``chunked`` table."""
+    keys = chunks.filter("doc_id is not null").select("doc_id", F.posexplode("hs").alias("j", "h")).filter("h is not null")
+    twice = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    asked = keys.join(twice, "h").groupBy("doc_id").agg(F.collect_set(F.struct("j", "h")).alias("asked"))
+    found = chunks.join(asked, "doc_id").select("doc_id", "bodies", F.filter("asked", lambda x: F.get("hs", x["j"]) == x["h"]).alias("asked"))
+    found = found.select("doc_id", F.inline(F.transform("asked", lambda x: F.struct(x["j"].alias("j"), x["h"].alias("h"), F.get("bodies", x["j"]).alias("body")))))
+    found = cut(spark, found, "bodies")
+    # grouped by the bytes themselves, so that texts with equal hashes stay apart
+    kept = found.groupBy("h", "body").agg(F.min(F.struct("doc_id", "j")).alias("kept"))
+    other = found.join(kept, ["h", "body"]).filter((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("j") != F.col("kept.j")))
+    return other.groupBy("doc_id").agg(F.collect_set(F.struct("j", "h")).alias("gone"))
 
 
-def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, j): the chunks to remove."""
-    rows = chunked(docs)
-    keyed = F.filter(F.transform("chunks", lambda c, j: F.struct(j.alias("j"), F.when(_counts(c), F.xxhash64(c["body"])).alias("h"))), lambda x: x["h"].isNotNull())
-    keys = cut(spark, rows.select("doc_id", F.inline(keyed)), "chunkkeys")
-    twice = keys.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).filter("n > 1").drop("n")
-    marked = cut(spark, keys.join(twice, "h"), "marked")
-    # the first place in the keeper: its bytes are what the others are compared with
-    head = marked.filter("doc_id = keeper").groupBy("h").agg(F.min("j").alias("keeper_j"))
-    asked = marked.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("j", "h"))).alias("asked"))
-    pick = F.transform("asked", lambda x: F.struct(x["j"].alias("j"), x["h"].alias("h"), F.get(F.col("chunks"), x["j"])["body"].alias("body")))
-    bodies = cut(spark, chunked(docs).join(asked, "doc_id").select("doc_id", F.inline(pick)), "bodies")
-    kept = head.join(twice, "h").select("h", F.col("keeper").alias("doc_id"), F.col("keeper_j").alias("j"))
-    kept = bodies.join(kept, ["h", "doc_id", "j"]).dropDuplicates(["h"]).select("h", F.col("doc_id").alias("keeper"), F.col("j").alias("keeper_j"), F.col("body").alias("kept_body"))
-    other = bodies.join(kept, "h").filter((F.col("body") == F.col("kept_body")) & ((F.col("doc_id") != F.col("keeper")) | (F.col("j") != F.col("keeper_j"))))
-    return other.select("doc_id", "j").distinct()
+def _left() -> Column:
+    """The bodies that stay."""
+    return F.filter("bodies", lambda b, j: ~F.coalesce(F.array_contains(F.col("gone"), F.struct(j.alias("j"), F.get("hs", j).alias("h"))), F.lit(False)))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_chunks, n_removed): the text without its removed chunks."""
-    gone = repeated(spark, docs).groupBy("doc_id").agg(F.collect_set("j").alias("gone"))
-    d = chunked(docs).join(gone, "doc_id", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    left = F.filter("chunks", lambda c, j: ~F.array_contains(F.col("gone"), j))
-    return d.select("doc_id", F.array_join(F.transform(left, lambda c: c["body"]), "").alias("text"), "n_chunks", F.size("gone").alias("n_removed"))
+    chunks = cut(spark, chunked(docs), "chunks")
+    d = chunks.join(repeated(spark, chunks), "doc_id", "left").select("doc_id", F.size("bodies").alias("n_chunks"), _left().alias("left"))
+    return d.select("doc_id", F.array_join("left", "").alias("text"), "n_chunks", (F.col("n_chunks") - F.size("left")).alias("n_removed"))
 
 
 def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -74,10 +76,10 @@ def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Documents that lose nothing stay as they are, empty ones included.
     """
-    gone = repeated(spark, docs).groupBy("doc_id").agg(F.collect_set("j").alias("gone"))
-    d = chunked(docs, tuple(docs.columns)).join(gone, "doc_id", "left")
-    left = F.array_join(F.transform(F.filter("chunks", lambda c, j: ~F.array_contains(F.col("gone"), j)), lambda c: c["body"]), "")
-    d = d.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    stored = cut(spark, chunked(docs, tuple(docs.columns)), "chunks")
+    d = stored.join(repeated(spark, stored), "doc_id", "left").withColumn("left", F.when(F.col("gone").isNotNull(), F.array_join(_left(), "")))
     d = d.filter(F.col("left").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.coalesce("left", "__text"), "n_chars": F.when(F.col("left").isNotNull(), F.length("left")).otherwise(F.col("__n_chars"))} if "n_chars" in docs.columns else {"text": F.coalesce("left", "__text")}
+    new = {"text": F.coalesce("left", F.when(~F.col("__text"), F.array_join("bodies", "")))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("left").isNotNull(), F.length("left")).otherwise(F.col("__n_chars"))
     return d.select(*[new.get(c, F.col(f"__{c}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
