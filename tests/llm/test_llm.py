@@ -117,6 +117,43 @@ def test_near_copies_go(spark):
     assert kept == set(range(30))
 
 
+@pytest.mark.parametrize("hot", [64, 3, 1])
+def test_wide_links_lose_no_component(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = random.Random(5)
+    lanes, width, radius = 2, 8, 12
+    fps = [rng.getrandbits(128) for _ in range(30)]
+    for _ in range(170):  # chains, so that parts under one key lie at all distances
+        f = rng.choice(fps)
+        fps.append(f ^ sum(1 << b for b in rng.sample(range(128), rng.randint(1, 16))))
+    fps = list(dict.fromkeys(fps))
+    words = lambda f: [x - (1 << 64) if x >> 63 else x for x in (f & (1 << 64) - 1, f >> 64)]
+    edges = simhash.link_wide(spark, spark.createDataFrame([(i, words(f)) for i, f in enumerate(fps)], "rep long, fp array<bigint>"), lanes, width, radius)
+    got = {r.node: r.component for r in graph.connected_components(spark, edges).collect()}
+    share = lambda a, b: any((a ^ b) >> c & 255 == 0 for c in range(0, 128, width))
+    want = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= radius and share(fps[i], fps[j])])
+    assert [got.get(i, i) for i in range(len(fps))] == want
+
+
+def recall(edits, n=150, words=400):
+    """Mean similarity of edited texts to their sources, the share of pairs found, and the similarity of each."""
+    rng, found = random.Random(edits), []
+    for _ in range(n):
+        a = [f"w{rng.randint(0, 20000)}" for _ in range(words)]
+        b = list(a)
+        for i in rng.sample(range(words), edits):
+            b[i] = "changed%d" % rng.randint(0, 10**9)
+        x, y = (int.from_bytes(simhash.fingerprint(" ".join(t), 5, 32)[::-1].astype(">u8").tobytes()) for t in (a, b))
+        p, q = ({tuple(t[i : i + 5]) for i in range(words - 4)} for t in (a, b))
+        found.append((len(p & q) / len(p | q), bin(x ^ y).count("1") <= 320 and any((x ^ y) >> c & (1 << 24) - 1 == 0 for c in range(0, 2048 - 23, 24))))
+    return sum(s for s, _ in found) / n, sum(f for _, f in found) / n
+
+
+def test_recall_of_near_copies():
+    assert recall(4)[1] >= 0.98
+    assert recall(7)[1] >= 0.9
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------
 
 def plain_spans(t):

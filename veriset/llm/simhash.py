@@ -11,7 +11,8 @@ Documents with equal fingerprints are merged before any pair is made. A block ke
   fingerprints differ in at most 2 bits exactly when some value lies within 1 bit of both, so each
   member is sent to the 65 values within 1 bit and every value links its members to the least one;
 * for wide fingerprints (``link_wide``) the members are compared with the key's least and greatest
-  member; they meet again under their other keys.
+  member; where that leaves a key's members in several parts, the parts are compared further, by
+  distances to one member of each part (``_hot_links``), so that no link is lost.
 
 Nulls and texts without words get fingerprint zero and link like any other. Ties (exactly half of
 the hashes) give a 0 bit. Repeated rows are kept, each with its own result. Extra columns of the
@@ -26,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_value, cut, text_of
@@ -55,31 +56,38 @@ def shingle_hashes(text: str, k: int) -> np.ndarray:
     return np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64, n - k + 1)
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """Bits set in over half of the hashes, the highest first."""
-    n = len(hashes)
-    if not n:
-        return 0
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 8192):
-        part = hashes[i : i + 8192].astype(">u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(counts * 2 > n).view(">u8")[0])
+def _bit_counts(words: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of ``words`` (n x lanes): full adders on whole words first, so that few rows are unpacked."""
+    total, weight = np.zeros(words.shape[1] * 64, np.int64), 1
+    while len(words):
+        carries = []
+        while len(words) >= 3:
+            m = len(words) // 3
+            a, b, c, rest = words[:m], words[m : 2 * m], words[2 * m : 3 * m], words[3 * m :]
+            either = a ^ b
+            carries.append((a & b) | (either & c))
+            words = np.concatenate([either ^ c, rest])
+        total += weight * np.unpackbits(words.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        words, weight = np.concatenate(carries) if carries else words[:0], weight * 2
+    return total
 
 
 def fingerprint(text: str, k: int = 3, lanes: int = 1) -> np.ndarray:
-    """``lanes`` 64-bit words; the first one uses the XXH64 hashes as they are."""
+    """``lanes`` 64-bit words, a bit set if it is in over half of the hashes; the first word uses the XXH64 hashes as they are."""
     hashes = shingle_hashes(text, k)
-    out = np.zeros(lanes, np.uint64)
-    for lane in range(lanes):
-        h = hashes
-        if lane:
-            h = (hashes ^ np.uint64((lane * 0xD1B54A32D192ED03) & (2**64 - 1))) * np.uint64(MIX)
+    counts = np.zeros(lanes * 64, np.int64)
+    seeds = np.arange(lanes, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    for i in range(0, len(hashes), 4096):
+        first = hashes[i : i + 4096, None]
+        h = first ^ seeds
+        if lanes > 1:
+            h *= np.uint64(MIX)
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(32)
-        out[lane] = _majority(h)
-    return out
+            h[:, :1] = first
+        counts += _bit_counts(h)
+    return np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, k: int = 3, lanes: int = 1) -> DataFrame:
@@ -124,40 +132,74 @@ def link_exact(spark: SparkSession, fps: DataFrame, blocks: int = 5, radius: int
 
 
 def _block_keys(lanes: int, width: int):
-    """Whole blocks of ``width`` bits of a wide fingerprint, as (c, k) structs."""
+    """Whole blocks of ``width`` bits of a wide fingerprint, each with its number above it in one long."""
     out = []
     for c in range(lanes * 64 // width):
         lane, shift = divmod(c * width, 64)
         v = F.shiftrightunsigned(F.col("fp")[lane], shift)
         if shift + width > 64:
             v = v.bitwiseOR(F.shiftleft(F.col("fp")[lane + 1], 64 - shift))
-        out.append(F.struct(F.lit(c).alias("c"), v.bitwiseAND(F.lit((1 << width) - 1)).alias("k")))
+        out.append(v.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(c << width)))
     return F.array(*out)
 
 
+def _far(lanes: int, x: str, y: str) -> Column:
+    """Differing bits of two wide fingerprints."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(lanes)])
+
+
+def _distances(fps: DataFrame, pairs: DataFrame, lanes: int) -> DataFrame:
+    """``pairs`` (a, b, more) with the differing bits of a and b as d."""
+    left, right = (fps.select(F.col("rep").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").withColumn("d", _far(lanes, "fp_a", "fp_b")).drop("fp_a", "fp_b")
+
+
+def _hot_links(spark: SparkSession, fps: DataFrame, hot: DataFrame, edges: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """The edges (a, b) that ``hot`` (rep, key) needs beyond ``edges``, so that no link under its keys is lost.
+
+    Members that ``edges`` already connects need no further link. A key whose members aren't all connected
+    has several parts; every member is measured against the least member (pivot) of the other parts. It can be
+    close to x of that part only if its distance to the pivot and x's differ by ``radius`` at most.
+    """
+    part = connected_components(spark, edges)
+    of = hot.join(part, hot.rep == part.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    open_keys = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    of = cut(spark, of.join(open_keys, "key"), "open")
+    pivots = of.groupBy("key", "part").agg(F.min("rep").alias("pivot"))
+    own = of.join(pivots, ["key", "part"])
+    other = of.join(pivots.select("key", F.col("part").alias("part2"), "pivot"), "key").filter("part2 < part").select("key", F.col("part2").alias("part"), "rep", "pivot")
+    near = cut(spark, _distances(fps, own.unionByName(other).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), lanes), "pivots")
+    near = near.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "d")
+    reach = own.join(near, ["rep", "pivot"]).select("key", "part", F.col("rep").alias("b"), F.col("d").alias("d2"))
+    widest = reach.groupBy("key", "part").agg(F.max("d2").alias("r"))
+    asked = other.join(near, ["rep", "pivot"]).join(widest, ["key", "part"]).filter(F.col("d") <= F.col("r") + radius).select("key", "part", F.col("rep").alias("a"), "d")
+    pairs = asked.join(reach, ["key", "part"]).filter(F.abs(F.col("d") - F.col("d2")) <= radius).select("a", "b").distinct()
+    return _distances(fps, pairs, lanes).filter(F.col("d") <= radius).select("a", "b")
+
+
 def link_wide(spark: SparkSession, fps: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
-    """Edges (a, b) between (rep, fp array) whose wide fingerprints share a block and differ in ``radius`` bits at most.
+    """Edges (a, b) that connect all (rep, fp array) whose wide fingerprints share a block and differ in ``radius`` bits at most.
 
     With fewer differing bits than blocks the pigeonhole finds every pair; beyond that a pair is found with a
-    probability that falls with the share of differing bits (the README has the measured recall).
+    probability that falls with the share of differing bits (the README has the recall).
     """
-    rows = fps.select("rep", F.explode(_block_keys(lanes, width)).alias("key")).select("rep", "key.c", "key.k")
-    many = rows.groupBy("c", "k").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("n > 1")
-    rows = cut(spark, rows.join(many, ["c", "k"]), "blocks")
+    rows = fps.select("rep", F.explode(_block_keys(lanes, width)).alias("key"))
+    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("n > 1")
+    rows = cut(spark, rows.join(many, "key"), "blocks")
     cold = rows.filter(F.col("n") <= HOT)
-    pairs = cold.select("c", "k", F.col("rep").alias("a")).join(cold.select("c", "k", F.col("rep").alias("b")), ["c", "k"]).filter("a < b").select("a", "b")
+    pairs = cold.select("key", F.col("rep").alias("a")).join(cold.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
     hot = rows.filter(F.col("n") > HOT)
     star = hot.select(F.col("lo").alias("a"), F.col("rep").alias("b")).unionByName(hot.select(F.col("rep").alias("a"), F.col("hi").alias("b"))).filter("a < b")
-    pairs = pairs.unionByName(star).distinct()
-    left, right = (fps.select(F.col("rep").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col("fp_a")[i].bitwiseXOR(F.col("fp_b")[i])) for i in range(lanes)])
-    return pairs.join(left, "a").join(right, "b").filter(bits <= radius).select("a", "b")
+    edges = cut(spark, _distances(fps, pairs.unionByName(star).distinct(), lanes).filter(F.col("d") <= radius).select("a", "b"), "links")
+    if hot.isEmpty():
+        return edges
+    return edges.unionByName(_hot_links(spark, fps, hot.select("key", "rep"), edges, lanes, radius))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, lanes: int = 1, width: int = 24, radius: int = 2, blocks: int = 5) -> DataFrame:
     """(doc_id, fp array, component_id): component_id is the least doc_id reachable over links, itself included."""
     all_fps = cut(spark, fingerprints(docs, k, lanes), "fps")
-    reps = all_fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = cut(spark, all_fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     if lanes == 1:
         edges = link_exact(spark, reps.select("rep", F.col("fp")[0].alias("fp")), blocks, radius)
     else:
@@ -167,11 +209,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, lanes: int
     return all_fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, lanes: int = 16, width: int = 24, radius: int = 160) -> DataFrame:
+def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, lanes: int = 32, width: int = 24, radius: int = 320) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the least doc_id.
 
-    Five-word shingles and 1024 bits: a similarity s of two shingle sets makes about
-    1024 * acos(2s / (1 + s)) / pi bits differ, 155 at 0.8, with a spread of 12.
+    Five-word shingles and 2048 bits: a similarity s of two shingle sets makes about
+    2048 * acos(2s / (1 + s)) / pi bits differ, 310 at 0.8, with a spread of 16.
     Rows that repeat a doc_id are one document: they stay or go together. Rows without a doc_id stay.
     """
     found = near_duplicates(spark, docs.filter("doc_id is not null"), k, lanes, width, radius)
