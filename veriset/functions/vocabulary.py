@@ -35,3 +35,6 @@ FEEDBACK_WORDS, PROFILE_CHARS = (4, 45), (400, 6000)
 
 #: Thresholds of the evidence rules.
 RULES = {"min_utility": 0.60, "degenerate": 0.10, "unusable": 0.20, "drift": 0.05, "gap": 0.05, "h": 0.20, "mad": 0.02, "alpha": 0.05, "min_cells": 0.60}
+
+#: Thresholds of the plan: spread from which families are tried, discrimination that can be rescued, drop of utility to note.
+PLAN = {"all_families": 0.04, "tuned_families": 0.03, "rescuable": 0.15, "utility_drop": 0.05}

@@ -81,6 +81,47 @@ def fit_leace(rows: DataFrame, vector: str = "embedding", label: str = "label",
     return Eraser(np.eye(len(mean)) - unwhiten @ u @ u.T @ whiten, mean)
 
 
+def fit_inlp(rows: DataFrame, vector: str = "embedding", label: str = "label", rounds: int = 8, margin: float = 0.01, steps: int = 50) -> Eraser:
+    """Linear probes whose directions are projected out one after the other, until a probe is no better than the commonest label.
+
+    Each probe is a distributed logistic regression on the vectors as they are then; the projection is composed on the driver.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    counts = rows.groupBy(label).count().collect()
+    n = sum(r["count"] for r in counts)
+    majority = max((r["count"] for r in counts), default=0) / max(n, 1)
+    index = {r[label]: i for i, r in enumerate(sorted(counts, key=lambda r: r[label]))}
+    first = rows.select(vector).first()
+    d = len(first[0]) if first else 0
+    projection = np.eye(d)
+    if len(index) < 2:
+        return Eraser(projection, np.zeros(d))
+    coded = F.element_at(F.create_map(*[F.lit(x) for k, i in index.items() for x in (k, float(i))]), F.col(label))
+    data = rows.select(vector, coded.alias("__y"))
+    probe = LogisticRegression(featuresCol="__x", labelCol="__y", maxIter=steps, regParam=1e-4, standardization=False)
+    for _ in range(rounds):
+        current = apply(data, Eraser(projection, np.zeros(d)), vector).select(array_to_vector("erased").alias("__x"), "__y")
+        model = probe.fit(current)
+        right = model.transform(current).agg(F.avg((F.col("prediction") == F.col("__y")).cast("double"))).first()[0]
+        if right <= majority + margin:
+            break
+        u, s, _ = np.linalg.svd(model.coefficientMatrix.toArray().T, full_matrices=False)
+        u = u[:, s > 1e-8 * max(s[0], 1e-300)]
+        projection = (np.eye(d) - u @ u.T) @ projection
+    return Eraser(projection, np.zeros(d))
+
+
+def diagnose(rows: DataFrame, eraser: Eraser, vector: str = "embedding", label: str = "label") -> DataFrame:
+    """One row: rows, share of the commonest label, mean relative change of the vectors."""
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    d = apply(rows, eraser, vector)
+    change = norm(F.zip_with("erased", vector, lambda a, b: a - b.cast("double"))) / F.nullif(norm(F.col(vector)), F.lit(0.0))
+    by = d.groupBy(label).agg(F.count("*").alias("n"), F.sum(change).alias("change"))
+    return by.agg(F.sum("n").alias("n_rows"), F.round(F.max("n") / F.sum("n"), 9).alias("majority_share"), F.round(F.sum("change") / F.sum("n"), 5).alias("relative_change"))
+
+
 def apply(rows: DataFrame, eraser: Eraser, vector: str = "embedding", strength: float = 1.0) -> DataFrame:
     """``rows`` with ``erased``; the matrix is as large as the dimension squared, so it is sent along."""
     p, mean = eraser.projection, eraser.mean
