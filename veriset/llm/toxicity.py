@@ -32,7 +32,7 @@ PREFIX, LEAST_COUNT = 4, 2
 #: Absolute discounts, floors of a unit's log ratio and powers of the length to choose from.
 DISCOUNTS, FLOORS, POWERS = (0.75, 3.0, 8.0), (0.0, 1.0, 2.0, 3.0), (1.0, 0.75, 0.5)
 #: Words a worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 200_000
 MARKS = ".,;:!?'\"()[]{}*#$%&|<>-_/\\"
 
 
@@ -162,6 +162,7 @@ def shared_counts(docs: DataFrame, model: Model) -> np.ndarray:
     out = np.zeros(len(model.vocabulary) + 1)
     for u, n in docs.select(text_of().alias("text")).mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         out[u] = n
+    sent.unpersist()
     return out
 
 
