@@ -320,6 +320,17 @@ def test_quality_held_out():
     assert 0 <= model.score("", memory) <= 1
 
 
+def test_quality_reads_long_words_whole(monkeypatch):
+    gain = np.random.default_rng(0).normal(size=quality_classifier.BUCKETS + 1)
+    model, memory = quality_classifier.Model(gain, 0.0), quality_classifier.Memory(gain)
+    a, b = "x" * 60 + "good" * 50, "x" * 60 + "evil" * 50
+    assert model.score(a, memory) != model.score(b, memory) and not memory
+    assert set(quality_classifier.features(a, {})[0]) != set(quality_classifier.features(b, {})[0])
+    monkeypatch.setattr(quality_classifier, "PIECE", 7)
+    f = quality_classifier.word_features(a)
+    assert np.isclose(quality_classifier.word_gain(a, gain), complex(gain[f].sum(), len(f)))
+
+
 # --- edge cases ---------------------------------------------------------------------------------------------------------
 
 def no_labels(spark):

@@ -3,7 +3,8 @@
 Words and their character n-grams are hashed to learned vectors; a document is the average of all of them, and a
 softmax layer gives the class. Vectors and layer are trained by stochastic gradient descent in numpy on a bounded
 sample of labelled documents (``BOUND`` a class). Scoring covers whole texts: since average and layer are linear, each
-word contributes one number and a count, which a worker remembers.
+word contributes one number and a count, which a worker remembers unless the word is very long. Words count whole: a long one
+is scored in pieces, with all its n-grams.
 
 Texts without words, nulls included, score by the layer's bias. Without labels of both classes every score is the
 share of label 1 (0.5 without labels). Repeated rows score alike. Extra columns are ignored.
@@ -30,11 +31,13 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 5, 0.5
 AGAIN = BUCKETS
 NGRAMS = (3, 4)
 REMEMBER = 1_000_000
+#: Longer words (characters) are not remembered, and read ``PIECE`` n-grams at a time.
+LONG_WORD, PIECE = 60, 1 << 16
 
 
 def word_features(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams, case kept, in UTF-8 with marked ends."""
-    b = f"<{word[:60]}>".encode("utf-8", "replace")
+    b = f"<{word}>".encode("utf-8", "replace")
     out = [zlib.crc32(b) % BUCKETS]
     for n in NGRAMS:
         out += [zlib.crc32(b[i : i + n], n) % BUCKETS for i in range(len(b) - n + 1)]
@@ -47,13 +50,28 @@ def features(text: str, memory: dict) -> tuple[np.ndarray, np.ndarray]:
     for w in text.split():
         f = memory.get(w)
         if f is None:
-            f = memory[w] = word_features(w)
+            f = word_features(w)
+            if len(w) <= LONG_WORD:
+                memory[w] = f
         out += f
     words = text.split()
     out += [AGAIN] * sum(map(operator.eq, words, words[1:]))
     return np.unique(np.array(out, np.int64), return_counts=True)
 
 
+def word_gain(word: str, gain: np.ndarray) -> complex:
+    """Sum of gains and number of features of a word, the features of ``word_features`` a piece at a time."""
+    b = f"<{word}>".encode("utf-8", "replace")
+    total, count = float(gain[zlib.crc32(b) % BUCKETS]), 1
+    for n in NGRAMS:
+        last = len(b) - n + 1
+        for start in range(0, last, PIECE):
+            f = [zlib.crc32(b[i : i + n], n) % BUCKETS for i in range(start, min(start + PIECE, last))]
+            total += float(gain[f].sum())
+            count += len(f)
+    return complex(total, count)
+
+
 class Memory(dict):
     """A word's sum of gains and number of features, as a complex number, learned as asked for."""
 
@@ -62,10 +80,12 @@ class Memory(dict):
         self.gain = gain
 
     def __missing__(self, word: str) -> complex:
+        found = word_gain(word, self.gain)
+        if len(word) > LONG_WORD:
+            return found
         if len(self) > REMEMBER:
             self.clear()
-        f = word_features(word)
-        self[word] = found = complex(self.gain[f].sum(), len(f))
+        self[word] = found
         return found
 
 
