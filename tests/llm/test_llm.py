@@ -199,6 +199,27 @@ def test_lines_once(spark):
         assert len(got[i].text) < 0.6 * len(texts[i]) and got[i].n_chars == len(got[i].text)
 
 
+@pytest.mark.parametrize("lines, words", [(4, 15), (6, 10), (8, 15), (20, 4), (2, 30), (13, 4)])
+def test_repeated_passages_go_whole(spark, lines, words):
+    rng = random.Random(lines)
+    say = lambda n: " ".join(f"w{rng.randint(0, 99999)}" for _ in range(n)) + "."
+    texts, own = [], []
+    for _ in range(30):
+        passage = " ".join(say(words) for _ in range(lines))
+        around = [[say(rng.randint(3, 20)) for _ in range(4)] for _ in range(2)]
+        texts += [f"{a} {b}{sep}{passage}{sep}{c}\n{d}" for (a, b, c, d), sep in zip(around, (" ", "\n\n"))]
+        own += [around[1]]
+    got = {r.doc_id: r.text for r in line_dedup.apply(spark, frame(spark, texts)).collect()}
+    for k, (a, b, c, d) in enumerate(own):
+        assert got[2 * k] == texts[2 * k] and got[2 * k + 1].split() == f"{a} {b} {c} {d}".split()
+
+
+def test_periodic_text_keeps_its_first_passage(spark):
+    line = " ".join(f"w{i}" for i in range(20)) + ".\n"
+    got = {r.doc_id: r.text for r in line_dedup.apply(spark, frame(spark, [line * 40, line * 2])).collect()}
+    assert got[0].startswith(line) and len(got[0]) <= 3 * len(line) and set(got) <= {0, 1}
+
+
 # --- 6, 8 --------------------------------------------------------------------------------------------------------------
 
 ODD = ["", " ", "a  b", " a", "a ", "\n", "don't  stop", "<|endoftext|> a<|endoftext|>b", "a\x1cb c", "É é é x", "it's, we'll. I'd!", "a.b, 12.5, 3,4 ., ..", "\ta\t b", "漢字 。 かな", "İstanbul ΣΑΣ ß. ŉ Ĳ", "́ a ́b", LONG]

@@ -15,21 +15,25 @@ Texts are cut into chunks once; the table of chunks is written, and the steps re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
 
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
 LONG, LEAST = 300, 60
+#: Repeated passages of so many words go in ``apply``, whatever their lines.
+WORDS = 50
+BLANK = r"^[\x20\x09-\x0D]*$"
 #: A chunk ends where the last hexadecimal digit of the rolling hash is one of these: after every second line on average.
 ENDS = list("02468ace")
 
 
-def chunked(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def chunked(docs: DataFrame, keep: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """(doc_id, *keep, bodies, hs): the bodies, joined, are the text; hs has the hash of each chunk that counts, null for the others.
 
-    Of the columns to keep, text is kept as whether it is null.
+    Of the columns to keep, text is kept as whether it is null. With ``lines``, (doc_id, *keep, lines, chunks) instead: the lines, and the
+    chunks that count as structs of ``ranges``.
     """
     keep = [(F.col(c).isNull() if c == "text" else F.col(c)).alias(f"__{c}") for c in keep]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.filter(F.split(text_of(), LINE_END), lambda x: x != "").alias("lines"))
@@ -38,10 +42,13 @@ def chunked(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rolling = lambda i: F.md5(F.concat(F.coalesce(F.get(h, i - 1), F.lit("")), F.get(h, i)))
     ends_here = lambda i: (i == n - 1) | F.get(long, i) | F.coalesce(F.get(long, i + 1), F.lit(False)) | F.substring(rolling(i), 32, 1).isin(ENDS)
     d = d.withColumn("ends", F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), ends_here)).otherwise(F.array().cast("array<int>")))
-    lines, ends = F.col("lines"), F.col("ends")
+    whole, ends = F.col("lines"), F.col("ends")
     first = lambda j: F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
-    d = d.withColumn("bodies", F.transform(ends, lambda e, j: F.array_join(F.slice(lines, first(j) + 1, e - first(j) + 1), "")))
+    d = d.withColumn("bodies", F.transform(ends, lambda e, j: F.array_join(F.slice(whole, first(j) + 1, e - first(j) + 1), "")))
     counts = lambda b, j: (F.length(b) >= LEAST) & ((F.get(ends, j) > first(j)) | (F.length(b) >= LONG))
+    if lines:
+        chunks = F.transform("bodies", lambda b, j: F.when(counts(b, j), F.struct(first(j).alias("i"), F.get(ends, j).alias("e"), F.lit(False).alias("passage"), F.xxhash64(b).alias("h"))))
+        return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], "lines", F.filter(chunks, lambda x: x.isNotNull()).alias("chunks"))
     return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], "bodies", F.transform("bodies", lambda b, j: F.when(counts(b, j), F.xxhash64(b))).alias("hs"))
 
 
@@ -71,15 +78,83 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.array_join("left", "").alias("text"), "n_chunks", (F.col("n_chunks") - F.size("left")).alias("n_removed"))
 
 
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+
+
+def _part(column: str, start: Column, n: Column) -> Column:
+    """``n`` elements (one at least) from place ``start`` on; ``slice`` in a lambda would copy the whole array each time."""
+    return F.transform(F.sequence(start, start + n - 1), lambda t: F.get(column, t))
+
+
+def _reach(k: Column, step: int) -> Column:
+    """100 times the words of the lines from ``k`` on (or back), as far as it takes to have ``WORDS`` of them, and the number of these lines.
+
+    Each line has one word at least. Less than 100 * ``WORDS``, or null, if all are too few. One number, as structs cost several times as much.
+    """
+    steps = F.array(*[F.lit(step * t) for t in range(WORDS)])
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda a, t: F.when(a >= 100 * WORDS, a).otherwise(a + F.get("words", k + t) * 100 + 1))
+
+
+def ranges(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, version, lines, units): the lines, joined, are the text; units are the ranges to compare, as structs (i, e, passage, h).
+
+    Units are the chunks that count, and passages: the least ones of ``WORDS`` words or more that start, or that end, with each line. So
+    each line of a repeated run of lines with ``WORDS`` words lies in a passage that is repeated, wherever the run stands. i and e are the
+    places of the first and last line.
+    """
+    d = chunked(docs, keep, lines=True)
+    keep = [c for c in d.columns if c.startswith("__")]
+    d = d.select("doc_id", *keep, "lines", "chunks", F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), lambda i: ~F.get("lines", i).rlike(BLANK)).alias("at"))
+    d = d.select("*", F.transform("at", lambda i: _trimmed(F.get("lines", i))).alias("solid"))
+    d = d.select("*", F.transform("solid", lambda x: F.size(F.split(x, r"[\x20\x09-\x0D]+")).cast("long")).alias("words"))
+    at = F.col("at")
+    d = d.select("*", F.transform("words", lambda x, k: _reach(k, 1)).alias("on"))
+    back = F.transform("words", lambda x, k: _reach(k, -1))
+    on = F.filter(F.transform("on", lambda a, k: F.struct(k.alias("p"), a.alias("a"))), lambda x: x["a"] >= 100 * WORDS)
+    back = F.filter(F.transform(back, lambda a, k: F.struct((k - (a % 100).cast("int") + 1).alias("p"), a.alias("a"))), lambda x: (x["a"] >= 100 * WORDS) & (F.get("on", x["p"]) % 100 != x["a"] % 100))
+    passages = F.transform(F.concat(on, back), lambda x: F.struct(x["p"].alias("p"), (x["a"] % 100).cast("int").alias("q")))
+    last = lambda x: F.coalesce(F.get(at, x["p"] + x["q"]), F.size("lines")) - 1
+    passages = F.transform(passages, lambda x: F.struct(F.get(at, x["p"]).alias("i"), last(x).alias("e"), F.lit(True).alias("passage"), F.xxhash64(F.lit(1), F.array_join(_part("solid", x["p"], x["q"]), "\n")).alias("h")))
+    return d.select("doc_id", *keep, F.xxhash64("lines").alias("version"), "lines", F.concat("chunks", passages).alias("units"))
+
+
+def repeated_ranges(spark: SparkSession, stored: DataFrame) -> DataFrame:
+    """(doc_id, version, gone): the disjoint ranges (a, b) of lines to remove, in order, from a stored ``ranges`` table."""
+    row = ["doc_id", "version"]
+    keys = stored.filter("doc_id is not null").select(*row, F.inline("units"))
+    twice = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    asked = keys.join(twice, "h").groupBy(*row).agg(F.collect_list(F.struct("i", "e", "passage")).alias("asked"))
+    its = lambda x: _part("lines", x["i"], x["e"] - x["i"] + 1)
+    words = lambda x: F.array_join(F.transform(F.filter(its(x), lambda y: ~y.rlike(BLANK)), _trimmed), "\n")
+    exact = lambda x: F.when(x["passage"], F.concat(F.lit("p"), words(x))).otherwise(F.concat(F.lit("c"), F.array_join(its(x), "")))
+    found = stored.join(asked, row).select(*row, F.inline(F.transform("asked", lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), F.unhex(F.sha2(exact(x), 256)).alias("s")))))
+    found = cut(spark, found, "ranges")
+    kept = found.groupBy("s").agg(F.min(F.struct(*row, "i", "e")).alias("kept"))
+    here = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("version") == F.col("kept.version"))
+    other = found.join(kept, "s").filter(~(here & (F.col("i") == F.col("kept.i"))))
+    # a later copy that overlaps the first one leaves it whole
+    other = other.select(*row, F.when(here, F.greatest("i", F.col("kept.e") + 1)).otherwise(F.col("i")).alias("a"), F.col("e").alias("b")).filter("a <= b").distinct()
+    w = Window.partitionBy(*row).orderBy("a", "b")
+    other = other.withColumn("new", F.when(F.col("a") > F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1)), 1).otherwise(0))
+    other = other.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*row, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return other.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone"))
+
+
 def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with its texts cut, and n_chars to match where there is one; documents left with white space only go. Extra columns stay.
 
-    Documents that lose nothing stay as they are, empty ones included.
+    Removed are repeated chunks and, whatever their line lengths, repeated passages of ``WORDS`` words or more in whole lines, which
+    are compared without the white space around their lines. Documents that lose nothing stay as they are, empty ones included.
     """
-    stored = cut(spark, chunked(docs, tuple(docs.columns)), "chunks")
-    d = stored.join(repeated(spark, stored), "doc_id", "left").withColumn("left", F.when(F.col("gone").isNotNull(), F.array_join(_left(), "")))
+    stored = cut(spark, ranges(docs, tuple(docs.columns)), "lines")
+    gone = F.col("gone")
+    start = lambda j: F.coalesce(F.get(gone, j - 1)["b"] + 1, F.lit(0))
+    stop = lambda j: F.coalesce(F.get(gone, j)["a"], F.size("lines"))
+    left = F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: F.when(stop(j) > start(j), F.array_join(_part("lines", start(j), stop(j) - start(j)), ""))), "")
+    d = stored.drop("units").join(repeated_ranges(spark, stored), ["doc_id", "version"], "left").withColumn("left", F.when(gone.isNotNull(), left))
     d = d.filter(F.col("left").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.coalesce("left", F.when(~F.col("__text"), F.array_join("bodies", "")))}
+    new = {"text": F.coalesce("left", F.when(~F.col("__text"), F.array_join("lines", "")))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("left").isNotNull(), F.length("left")).otherwise(F.col("__n_chars"))
     return d.select(*[new.get(c, F.col(f"__{c}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
