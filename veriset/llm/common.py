@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+import pickle
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,19 +32,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_veriset_dir", None) or "file://" + tempfile.mkdtemp(prefix="veriset-")
         spark.sparkContext._veriset_dir = found
     return found.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, in the shared folder."""
+    return f"{shared_dir(spark)}/veriset/{spark.sparkContext.applicationId}"
+
+
 def cut(spark: SparkSession, df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there."""
-    path = f"{shared_dir(spark)}/veriset/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.veriset_path = path
+    return found
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing will read again, and let Spark drop the shuffle files of queries that are over.
+
+    Spark drops them when its driver collects the objects that stand for them, which may be long after.
+    """
+    for t in tables:
+        _delete(spark, t.veriset_path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them must have been written."""
+    _delete(spark, work_dir(spark))
+
+
+def from_one_task(rows: DataFrame, fit: Callable[[list[dict]], dict | None]) -> dict | None:
+    """What ``fit`` makes of all ``rows``, computed in one task, so that the driver never holds the rows.
+
+    ``rows`` must be bounded. The result, a dict of plain values and arrays, comes back pickled.
+    """
+
+    def run(batches):
+        found = [r for b in batches for r in b.to_pylist()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found))], pa.binary())], names=["model"])
+
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(got[0][0])) if got else None
 
 
 def worker_cache(name: str) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,7 +27,8 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(spark, small, "edges")
+        last, e = e, cut(spark, small, "edges")
+        release(spark, last)
         after = _state(e)
         if after == before:
             break

@@ -5,22 +5,23 @@ A fingerprint takes, for each bit, the majority over the hashes of a text's word
 pairs that share a block key are verified by Hamming distance and joined into components.
 
 Documents with equal fingerprints are merged before any pair is made. A block key with more than
-``HOT`` distinct fingerprints never emits its pairs:
+``HOT`` (``CROWD``) distinct fingerprints never emits its pairs, so candidates grow with the members:
 
 * for a small radius (``link_exact``) the members of hot keys are linked over midpoints instead: two
   fingerprints differ in at most 2 bits exactly when some value lies within 1 bit of both, so each
   member is sent to the 65 values within 1 bit and every value links its members to the least one;
-* for wide fingerprints (``link_wide``) the members are compared with the key's least and greatest
-  member; where that leaves a key's members in several parts, the parts are compared further, by
-  distances to one member of each part (``_hot_links``), so that no link is lost.
+* for wide fingerprints (``link_wide``) the members of such a key are compared with its least one; parts of the key that are
+  still apart are then compared by one member each, until no more are linked.
 
-Nulls and texts without words get fingerprint zero and link like any other. Ties (exactly half of
+Rows without a doc_id take part by their fingerprints only: they are in the component of those with an equal one, if any, else
+in none (null). Null texts and texts without words get fingerprint zero and link like any other. Ties (exactly half of
 the hashes) give a 0 bit. Repeated rows are kept, each with its own result. Extra columns of the
 input are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -30,13 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, cut, text_of
+from .common import by_value, cut, release, text_of
 from .graph import connected_components
 
 by_value(__name__)
 
-#: Distinct fingerprints under one block key from which its pairs aren't enumerated.
-HOT = 64
+#: Distinct fingerprints under one block key up to which its pairs are enumerated, for 64 bits and for wide fingerprints.
+HOT, CROWD = 64, 4
 #: Odd multipliers that derive further 64-bit hashes of a shingle from its first one.
 MIX = 0x9E3779B97F4A7C15
 
@@ -131,16 +132,42 @@ def link_exact(spark: SparkSession, fps: DataFrame, blocks: int = 5, radius: int
     return pairs.unionByName(ball.join(least, "mid").filter("rep <> a").select("a", F.col("rep").alias("b"))).distinct()
 
 
-def _block_keys(lanes: int, width: int):
-    """Whole blocks of ``width`` bits of a wide fingerprint, each with its number above it in one long."""
+def block_plan(n: int, bits: int, share: float, miss: float = 0.08) -> tuple[int, int]:
+    """Width and number of block keys for ``n`` fingerprints of ``bits`` bits.
+
+    The width grows with the logarithm of ``n``, so that unrelated fingerprints seldom meet under a key: one row in 16 at most. The
+    number of keys grows with the width, so that of pairs that differ in the given ``share`` of their bits at most ``miss`` meet under none.
+    """
+    width = max(16, n.bit_length() + 4)
+    return width, min(max(1, math.ceil(math.log(miss) / math.log1p(-((1 - share) ** width)))), 1 << 20)
+
+
+def block_keys(fps: np.ndarray, width: int, keys: int) -> np.ndarray:
+    """Keys of the rows of ``fps`` (n x lanes): blocks of ``width`` bits, each under its number; further sets of blocks cut the bits in another order."""
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8), axis=1)
+    each = bits.shape[1] // width
+    weights = 2.0 ** np.arange(width)
     out = []
-    for c in range(lanes * 64 // width):
-        lane, shift = divmod(c * width, 64)
-        v = F.shiftrightunsigned(F.col("fp")[lane], shift)
-        if shift + width > 64:
-            v = v.bitwiseOR(F.shiftleft(F.col("fp")[lane + 1], 64 - shift))
-        out.append(v.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(c << width)))
-    return F.array(*out)
+    for i in range(-(-keys // each)):
+        order = np.random.default_rng(i).permutation(bits.shape[1]) if i else np.arange(bits.shape[1])
+        m = min(each, keys - i * each)
+        blocks = bits[:, order[: m * width]].reshape(-1, width).astype(np.float64)
+        out.append((blocks @ weights).astype(np.int64).reshape(-1, m) | (np.arange(m) + i * each) << width)
+    return np.concatenate(out, axis=1)
+
+
+def _keyed(fps: DataFrame, width: int, keys: int) -> DataFrame:
+    """(key, rep) of all block keys of (rep, fp array)."""
+
+    def run(batches):
+        for b in (b for b in batches if b.num_rows):
+            values = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            reps, values = b.column(0).to_numpy(zero_copy_only=False), values.reshape(b.num_rows, -1)
+            for i in range(0, len(reps), 1000):
+                some = block_keys(values[i : i + 1000], width, keys)
+                yield pa.RecordBatch.from_arrays([pa.array(some.ravel()), pa.array(np.repeat(reps[i : i + 1000], keys))], names=["key", "rep"])
+
+    return fps.filter("rep is not null").select("rep", "fp").mapInArrow(run, "key long, rep long")
 
 
 def _far(lanes: int, x: str, y: str) -> Column:
@@ -154,68 +181,96 @@ def _distances(fps: DataFrame, pairs: DataFrame, lanes: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("d", _far(lanes, "fp_a", "fp_b")).drop("fp_a", "fp_b")
 
 
-def _hot_links(spark: SparkSession, fps: DataFrame, hot: DataFrame, edges: DataFrame, lanes: int, radius: int) -> DataFrame:
-    """The edges (a, b) that ``hot`` (rep, key) needs beyond ``edges``, so that no link under its keys is lost.
+def _within(spark: SparkSession, fps: DataFrame, pairs: DataFrame, lanes: int, radius: int) -> DataFrame:
+    """Those of distinct ``pairs`` (a, b) that differ in ``radius`` bits at most.
 
-    Members that ``edges`` already connects need no further link. A key whose members aren't all connected
-    has several parts; every member is measured against the least member (pivot) of the other parts. It can be
-    close to x of that part only if its distance to the pivot and x's differ by ``radius`` at most.
+    One word of both is compared first: of ``radius`` bits spread over all words, more than ``most`` seldom (one pair in 10,000)
+    fall on it, and of unrelated pairs most do. So few pairs meet their whole fingerprints.
     """
-    part = connected_components(spark, edges)
-    of = hot.join(part, hot.rep == part.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    open_keys = of.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    of = cut(spark, of.join(open_keys, "key"), "open")
-    pivots = of.groupBy("key", "part").agg(F.min("rep").alias("pivot"))
-    own = of.join(pivots, ["key", "part"])
-    other = of.join(pivots.select("key", F.col("part").alias("part2"), "pivot"), "key").filter("part2 < part").select("key", F.col("part2").alias("part"), "rep", "pivot")
-    near = cut(spark, _distances(fps, own.unionByName(other).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), lanes), "pivots")
-    near = near.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "d")
-    reach = own.join(near, ["rep", "pivot"]).select("key", "part", F.col("rep").alias("b"), F.col("d").alias("d2"))
-    widest = reach.groupBy("key", "part").agg(F.max("d2").alias("r"))
-    asked = other.join(near, ["rep", "pivot"]).join(widest, ["key", "part"]).filter(F.col("d") <= F.col("r") + radius).select("key", "part", F.col("rep").alias("a"), "d")
-    pairs = asked.join(reach, ["key", "part"]).filter(F.abs(F.col("d") - F.col("d2")) <= radius).select("a", "b").distinct()
-    return _distances(fps, pairs, lanes).filter(F.col("d") <= radius).select("a", "b")
-
-
-def link_wide(spark: SparkSession, fps: DataFrame, lanes: int, width: int, radius: int) -> DataFrame:
-    """Edges (a, b) that connect all (rep, fp array) whose wide fingerprints share a block and differ in ``radius`` bits at most.
-
-    With fewer differing bits than blocks the pigeonhole finds every pair; beyond that a pair is found with a
-    probability that falls with the share of differing bits (the README has the recall).
+    share = radius / (64 * lanes)
+    most = min(64, round(64 * share + 3.9 * math.sqrt(64 * share * (1 - share))))
+    if lanes > 2:
+        left, right = (fps.select(F.col("rep").alias(x), F.col("fp")[lanes - 1].alias(f"word_{x}")) for x in "ab")
+        pairs = pairs.join(left, "a").join(right, "b").filter(F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= most).select("a", "b")
+        pairs = cut(spark, pairs, "pairs")
+    found = cut(spark, _distances(fps, pairs, lanes).filter(F.col("d") <= radius).select("a", "b"), "links")
+    if lanes > 2:
+        release(spark, pairs)
+    return found
+
+
+def _ordered(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def _merged(spark: SparkSession, part: DataFrame, more: DataFrame) -> DataFrame:
+    """``part`` (node, component) after further edges ``more`` (a, b)."""
+    of = lambda x: part.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    upper = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    upper = connected_components(spark, upper).select(F.col("node").alias("component"), F.col("component").alias("higher"))
+    new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(part, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return cut(spark, part.unionByName(new).join(upper, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "parts")
+
+
+def link_wide(spark: SparkSession, fps: DataFrame, lanes: int, radius: int, width: int, keys: int) -> DataFrame:
+    """(node, component) of (rep, fp array) that links connect: wide fingerprints that share a block and differ in ``radius`` bits at most.
+
+    With fewer differing bits than blocks of one set the pigeonhole finds every pair; beyond that a pair is found with a
+    probability that falls with the share of differing bits (:func:`block_plan`; the README has the recall). Members of a crowded
+    key are compared with its least one. Then the parts of the key that stay apart are compared with its first part, each by
+    one of its members, which hashing picks anew for each key, until a round links nothing more.
     """
-    rows = fps.select("rep", F.explode(_block_keys(lanes, width)).alias("key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("n > 1")
+    rows = _keyed(fps, width, keys)
+    many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo")).filter("n > 1")
     rows = cut(spark, rows.join(many, "key"), "blocks")
-    cold = rows.filter(F.col("n") <= HOT)
+    cold, hot = rows.filter(F.col("n") <= CROWD), rows.filter(F.col("n") > CROWD)
     pairs = cold.select("key", F.col("rep").alias("a")).join(cold.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
-    hot = rows.filter(F.col("n") > HOT)
-    star = hot.select(F.col("lo").alias("a"), F.col("rep").alias("b")).unionByName(hot.select(F.col("rep").alias("a"), F.col("hi").alias("b"))).filter("a < b")
-    edges = cut(spark, _distances(fps, pairs.unionByName(star).distinct(), lanes).filter(F.col("d") <= radius).select("a", "b"), "links")
-    if hot.isEmpty():
-        return edges
-    return edges.unionByName(_hot_links(spark, fps, hot.select("key", "rep"), edges, lanes, radius))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, lanes: int = 1, width: int = 24, radius: int = 2, blocks: int = 5) -> DataFrame:
-    """(doc_id, fp array, component_id): component_id is the least doc_id reachable over links, itself included."""
+    pairs = pairs.unionByName(hot.filter("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b"))).distinct()
+    part = connected_components(spark, _within(spark, fps, pairs, lanes, radius))
+    while True:
+        of = hot.join(part, hot.rep == part.node, "left").groupBy("key", F.coalesce("component", "rep").alias("part"))
+        of = cut(spark, of.agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("rep")), "open")
+        first = of.groupBy("key").agg(F.min_by("rep", "part").alias("lo"), F.count("*").alias("n")).filter("n > 1").select("key", "lo")
+        more = of.join(first, "key").filter("rep <> lo").select(*_ordered("rep", "lo")).distinct()
+        more = _within(spark, fps, more, lanes, radius)
+        release(spark, of)
+        if more.isEmpty():
+            release(spark, rows)
+            return part
+        part = _merged(spark, part, more)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, lanes: int = 1, radius: int = 2, blocks: int = 5, share: float = 0.0) -> DataFrame:
+    """(doc_id, fp array, component_id): component_id is the least doc_id reachable over links, itself included.
+
+    With one lane every pair within ``radius`` bits is linked. With more, ``share`` is the share of differing bits up to which
+    :func:`block_plan` promises its recall.
+    """
     all_fps = cut(spark, fingerprints(docs, k, lanes), "fps")
     reps = cut(spark, all_fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     if lanes == 1:
-        edges = link_exact(spark, reps.select("rep", F.col("fp")[0].alias("fp")), blocks, radius)
+        parts = connected_components(spark, link_exact(spark, reps.select("rep", F.col("fp")[0].alias("fp")), blocks, radius))
     else:
-        edges = link_wide(spark, reps, lanes, width, radius)
-    parts = connected_components(spark, edges)
+        parts = link_wide(spark, reps, lanes, radius, *block_plan(reps.count(), 64 * lanes, share))
     classes = reps.join(parts, reps.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return all_fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, lanes: int = 32, width: int = 24, radius: int = 320) -> DataFrame:
+def differing(similarity: float) -> float:
+    """Share of bits in which fingerprints of two shingle sets of that (Jaccard) similarity and equal size differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, lanes: int = 32, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the least doc_id.
 
-    Five-word shingles and 2048 bits: a similarity s of two shingle sets makes about
-    2048 * acos(2s / (1 + s)) / pi bits differ, 310 at 0.8, with a spread of 16.
+    Five-word shingles and 2048 bits: at a similarity of 0.8, 310 bits differ, with a spread of 16. Two spreads more are
+    allowed, so that few pairs at the limit are missed; in turn a part of the pairs between 0.75 and 0.8 are linked.
     Rows that repeat a doc_id are one document: they stay or go together. Rows without a doc_id stay.
     """
-    found = near_duplicates(spark, docs.filter("doc_id is not null"), k, lanes, width, radius)
-    drop = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    share, bits = differing(similarity), 64 * lanes
+    radius = round(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    found = near_duplicates(spark, docs.filter("doc_id is not null"), k, lanes, radius, share=share)
+    drop = cut(spark, found.filter("doc_id <> component_id").select("doc_id").distinct(), "drop")
+    release(spark)
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
