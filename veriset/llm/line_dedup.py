@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, release, text_of
 
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
 LONG, LEAST = 300, 60
@@ -33,7 +33,7 @@ def chunked(docs: DataFrame, keep: tuple[str, ...] = (), lines: bool = False) ->
     """(doc_id, *keep, bodies, hs): the bodies, joined, are the text; hs has the hash of each chunk that counts, null for the others.
 
     Of the columns to keep, text is kept as whether it is null. With ``lines``, (doc_id, *keep, lines, chunks) instead: the lines, and the
-    chunks that count as structs of ``ranges``.
+    first and last line (i, e) of the chunks that count.
     """
     keep = [(F.col(c).isNull() if c == "text" else F.col(c)).alias(f"__{c}") for c in keep]
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.filter(F.split(text_of(), LINE_END), lambda x: x != "").alias("lines"))
@@ -47,28 +47,51 @@ def chunked(docs: DataFrame, keep: tuple[str, ...] = (), lines: bool = False) ->
     d = d.withColumn("bodies", F.transform(ends, lambda e, j: F.array_join(F.slice(whole, first(j) + 1, e - first(j) + 1), "")))
     counts = lambda b, j: (F.length(b) >= LEAST) & ((F.get(ends, j) > first(j)) | (F.length(b) >= LONG))
     if lines:
-        chunks = F.transform("bodies", lambda b, j: F.when(counts(b, j), F.struct(first(j).alias("i"), F.get(ends, j).alias("e"), F.lit(False).alias("passage"), F.xxhash64(b).alias("h"))))
+        chunks = F.transform("bodies", lambda b, j: F.when(counts(b, j), F.struct(first(j).alias("i"), F.get(ends, j).alias("e"))))
         return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], "lines", F.filter(chunks, lambda x: x.isNotNull()).alias("chunks"))
     return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], "bodies", F.transform("bodies", lambda b, j: F.when(counts(b, j), F.xxhash64(b))).alias("hs"))
 
 
+def _digest(body: Column) -> Column:
+    """SHA-256 of some bytes, which stands for them when bytes are compared."""
+    return F.unhex(F.sha2(body, 256))
+
+
+def _again(spark: SparkSession, places: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``places`` whose key occurs more than once, and the table of these keys.
+
+    The keys are a table of their own, so that neither the count nor the join needs all places of a frequent key in one task.
+    """
+    twice = cut(spark, places.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "twice")
+    return places.join(twice, key), twice
+
+
 def repeated(spark: SparkSession, chunks: DataFrame) -> DataFrame:
     """(doc_id, gone): the chunks to remove, as structs (j, h), from a stored ``chunked`` table."""
     keys = chunks.filter("doc_id is not null").select("doc_id", F.posexplode("hs").alias("j", "h")).filter("h is not null")
-    twice = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    asked = keys.join(twice, "h").groupBy("doc_id").agg(F.collect_set(F.struct("j", "h")).alias("asked"))
+    asked, twice = _again(spark, keys, "h")
+    asked = cut(spark, asked.groupBy("doc_id").agg(F.collect_set(F.struct("j", "h")).alias("asked")), "asked")
+    release(spark, twice)
     found = chunks.join(asked, "doc_id").select("doc_id", "bodies", F.filter("asked", lambda x: F.get("hs", x["j"]) == x["h"]).alias("asked"))
-    found = found.select("doc_id", F.inline(F.transform("asked", lambda x: F.struct(x["j"].alias("j"), x["h"].alias("h"), F.get("bodies", x["j"]).alias("body")))))
-    found = cut(spark, found, "bodies")
-    # grouped by the bytes themselves, so that texts with equal hashes stay apart
-    kept = found.groupBy("h", "body").agg(F.min(F.struct("doc_id", "j")).alias("kept"))
-    other = found.join(kept, ["h", "body"]).filter((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("j") != F.col("kept.j")))
-    return other.groupBy("doc_id").agg(F.collect_set(F.struct("j", "h")).alias("gone"))
+    found = found.select("doc_id", F.inline(F.transform("asked", lambda x: F.struct(x["j"].alias("j"), x["h"].alias("h"), _digest(F.get("bodies", x["j"])).alias("s")))))
+    found = cut(spark, found, "digests")
+    release(spark, asked)
+    # by the digests of the bytes, so that texts with equal hashes stay apart
+    kept = cut(spark, found.groupBy("s").agg(F.min(F.struct("doc_id", "j")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n"), "kept")
+    other = found.join(kept, "s").filter((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("j") != F.col("kept.j")))
+    gone = cut(spark, other.groupBy("doc_id").agg(F.collect_set(F.struct("j", "h")).alias("gone")), "gone")
+    release(spark, found, kept)
+    return gone
 
 
 def _left() -> Column:
-    """The bodies that stay."""
-    return F.filter("bodies", lambda b, j: ~F.coalesce(F.array_contains(F.col("gone"), F.struct(j.alias("j"), F.get("hs", j).alias("h"))), F.lit(False)))
+    """The bodies that stay: those between the places that go, in order."""
+    its = F.filter(F.coalesce("gone", F.array().cast("array<struct<j: int, h: bigint>>")), lambda x: F.get("hs", x["j"]) == x["h"])
+    places = F.sort_array(F.transform(its, lambda x: x["j"]))
+    # the places and the end, each with the bodies from the place before it on
+    ends = F.concat(places, F.array(F.size("bodies")))
+    runs = F.zip_with(F.concat(F.array(F.lit(-1)), places), ends, lambda a, b: F.struct((a + 1).alias("a"), b.alias("b")))
+    return F.flatten(F.transform(F.filter(runs, lambda r: r["a"] < r["b"]), lambda r: _part("bodies", r["a"], r["b"] - r["a"])))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -87,50 +110,84 @@ def _part(column: str, start: Column, n: Column) -> Column:
     return F.transform(F.sequence(start, start + n - 1), lambda t: F.get(column, t))
 
 
-def _reach(k: Column, step: int) -> Column:
+def _reach(k: Column, step: int, most: int = WORDS) -> Column:
     """100 times the words of the lines from ``k`` on (or back), as far as it takes to have ``WORDS`` of them, and the number of these lines.
 
-    Each line has one word at least. Less than 100 * ``WORDS``, or null, if all are too few. One number, as structs cost several times as much.
+    Each line has one word at least, so ``WORDS`` lines suffice. Less than 100 * ``WORDS``, or null, if all are too few, or if ``most`` lines
+    are. One number, as structs cost several times as much.
     """
-    steps = F.array(*[F.lit(step * t) for t in range(WORDS)])
+    steps = F.array(*[F.lit(step * t) for t in range(most)])
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, t: F.when(a >= 100 * WORDS, a).otherwise(a + F.get("words", k + t) * 100 + 1))
 
 
-def ranges(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, version, lines, units): the lines, joined, are the text; units are the ranges to compare, as structs (i, e, passage, h).
+def cut_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, version, lines, chunks, at, words, hs): the lines, joined, are the text.
 
-    Units are the chunks that count, and passages: the least ones of ``WORDS`` words or more that start, or that end, with each line. So
-    each line of a repeated run of lines with ``WORDS`` words lies in a passage that is repeated, wherever the run stands. i and e are the
-    places of the first and last line.
+    at has the places of the lines that aren't blank, words and hs their words and hashes without the white space around them.
     """
     d = chunked(docs, keep, lines=True)
     keep = [c for c in d.columns if c.startswith("__")]
     d = d.select("doc_id", *keep, "lines", "chunks", F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), lambda i: ~F.get("lines", i).rlike(BLANK)).alias("at"))
     d = d.select("*", F.transform("at", lambda i: _trimmed(F.get("lines", i))).alias("solid"))
-    d = d.select("*", F.transform("solid", lambda x: F.size(F.split(x, r"[\x20\x09-\x0D]+")).cast("long")).alias("words"))
-    at = F.col("at")
-    d = d.select("*", F.transform("words", lambda x, k: _reach(k, 1)).alias("on"))
-    back = F.transform("words", lambda x, k: _reach(k, -1))
-    on = F.filter(F.transform("on", lambda a, k: F.struct(k.alias("p"), a.alias("a"))), lambda x: x["a"] >= 100 * WORDS)
-    back = F.filter(F.transform(back, lambda a, k: F.struct((k - (a % 100).cast("int") + 1).alias("p"), a.alias("a"))), lambda x: (x["a"] >= 100 * WORDS) & (F.get("on", x["p"]) % 100 != x["a"] % 100))
-    passages = F.transform(F.concat(on, back), lambda x: F.struct(x["p"].alias("p"), (x["a"] % 100).cast("int").alias("q")))
-    last = lambda x: F.coalesce(F.get(at, x["p"] + x["q"]), F.size("lines")) - 1
-    passages = F.transform(passages, lambda x: F.struct(F.get(at, x["p"]).alias("i"), last(x).alias("e"), F.lit(True).alias("passage"), F.xxhash64(F.lit(1), F.array_join(_part("solid", x["p"], x["q"]), "\n")).alias("h")))
-    return d.select("doc_id", *keep, F.xxhash64("lines").alias("version"), "lines", F.concat("chunks", passages).alias("units"))
+    words = F.transform("solid", lambda x: F.size(F.split(x, r"[\x20\x09-\x0D]+")).cast("long"))
+    return d.select("doc_id", *keep, F.xxhash64("lines").alias("version"), "lines", "chunks", "at", words.alias("words"), F.transform("solid", lambda x: F.xxhash64(x)).alias("hs"))
+
+
+def ranges(known: DataFrame) -> DataFrame:
+    """(doc_id, version, lines, units) of ``cut_lines`` with ``asked``, the lines (j, h) that occur elsewhere: units are the ranges to compare, as structs (i, e, passage).
+
+    Units are the chunks that count and end in such a line, and passages: the least ones of ``WORDS`` words or more that start, or that end,
+    with each line, inside runs of such lines. So each line of a repeated run of lines with ``WORDS`` words lies in a passage that is
+    repeated, wherever the run stands. i and e are the places of the first and last line.
+    """
+    # rows that share a doc_id are told apart by the hash at the place
+    mine = F.filter("asked", lambda x: F.get("hs", x["j"]) == x["h"])
+    d = known.select("doc_id", "version", "lines", "chunks", "at", "words", F.sort_array(F.transform(mine, lambda x: x["j"])).alias("js"))
+    js, at = F.col("js"), F.col("at")
+    starts = F.filter(js, lambda x, k: F.coalesce(F.get(js, k - 1) != x - 1, F.lit(True)))
+    stops = F.filter(js, lambda x, k: F.coalesce(F.get(js, k + 1) != x + 1, F.lit(True)))
+    runs = F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    enough = lambda r: F.aggregate(_part("words", r["a"], r["b"] - r["a"] + 1), F.lit(0).cast("long"), lambda s, w: s + w) >= WORDS
+    d = d.select("*", F.filter(runs, enough).alias("runs"))
+    places = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["a"], r["b"]), lambda p: F.struct(p.alias("p"), r["a"].alias("a"), r["b"].alias("b")))))
+    d = d.select("*", places.alias("places"))
+    size = lambda x: (x["n"] % 100).cast("int")
+    # few lines are enough nearly always; only where they aren't, all are tried
+    few = lambda edge, step: F.transform("places", lambda x: F.struct(x["p"].alias("p"), x[edge].alias(edge), _reach(x["p"], step, 8).alias("n")))
+    far = lambda x, step: F.when(x["n"] >= 100 * WORDS, x["n"]).otherwise(_reach(x["p"], step))
+    on = F.transform(few("b", 1), lambda x: F.struct(x["p"].alias("p"), x["b"].alias("b"), far(x, 1).alias("n")))
+    pair = lambda p, q: p.cast("long") * (1 << 32) + q  # noqa: E731  plain numbers, as structs are told apart one by one
+    on = F.transform(F.filter(on, lambda x: (x["n"] >= 100 * WORDS) & (x["p"] + size(x) - 1 <= x["b"])), lambda x: pair(x["p"], x["p"] + size(x) - 1))
+    back = F.transform(few("a", -1), lambda x: F.struct(x["p"].alias("q"), x["a"].alias("a"), far(x, -1).alias("n")))
+    back = F.transform(F.filter(back, lambda x: (x["n"] >= 100 * WORDS) & (x["q"] - size(x) + 1 >= x["a"])), lambda x: pair(x["q"] - size(x) + 1, x["q"]))
+    # a passage goes on over blank lines up to the next line that isn't
+    last = lambda q: F.coalesce(F.get(at, q + 1), F.size("lines")) - 1
+    first_of, last_of = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    passages = F.transform(F.array_distinct(F.concat(on, back)), lambda x: F.struct(F.get(at, first_of(x)).alias("i"), last(last_of(x)).alias("e"), F.lit(True).alias("passage")))
+    # whether each line occurs elsewhere: the gap before each of them, and what follows the last
+    flags = F.flatten(F.transform(js, lambda j, k: F.concat(F.array_repeat(F.lit(False), F.get(at, j) - F.coalesce(F.get(at, F.get(js, k - 1)), F.lit(-1)) - 1), F.array(F.lit(True)))))
+    d = d.select("*", passages.alias("passages"), flags.alias("flags"))
+    chunks = F.filter("chunks", lambda x: F.coalesce(F.get("flags", x["e"]), F.lit(False)) | F.get("lines", x["e"]).rlike(BLANK))
+    chunks = F.transform(chunks, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), F.lit(False).alias("passage")))
+    # flags stands twice here, or the optimiser would put its making into the lambda and so make it for every chunk
+    return d.select("doc_id", "version", "lines", F.concat("passages", F.when(F.size("flags") >= 0, chunks)).alias("units"))
 
 
 def repeated_ranges(spark: SparkSession, stored: DataFrame) -> DataFrame:
-    """(doc_id, version, gone): the disjoint ranges (a, b) of lines to remove, in order, from a stored ``ranges`` table."""
+    """(doc_id, version, gone): the disjoint ranges (a, b) of lines to remove, in order, from a stored ``cut_lines`` table."""
     row = ["doc_id", "version"]
-    keys = stored.filter("doc_id is not null").select(*row, F.inline("units"))
-    twice = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    asked = keys.join(twice, "h").groupBy(*row).agg(F.collect_list(F.struct("i", "e", "passage")).alias("asked"))
+    keys = stored.filter("doc_id is not null").select("doc_id", F.posexplode("hs").alias("j", "h"))
+    asked, twice = _again(spark, keys, "h")
+    asked = cut(spark, asked.groupBy("doc_id").agg(F.collect_set(F.struct("j", "h")).alias("asked")), "asked")
+    release(spark, twice)
     its = lambda x: _part("lines", x["i"], x["e"] - x["i"] + 1)
     words = lambda x: F.array_join(F.transform(F.filter(its(x), lambda y: ~y.rlike(BLANK)), _trimmed), "\n")
     exact = lambda x: F.when(x["passage"], F.concat(F.lit("p"), words(x))).otherwise(F.concat(F.lit("c"), F.array_join(its(x), "")))
-    found = stored.join(asked, row).select(*row, F.inline(F.transform("asked", lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), F.unhex(F.sha2(exact(x), 256)).alias("s")))))
+    found = ranges(stored.join(asked, "doc_id"))
+    found = found.select(*row, F.inline(F.transform("units", lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), _digest(exact(x)).alias("s")))))
     found = cut(spark, found, "ranges")
-    kept = found.groupBy("s").agg(F.min(F.struct(*row, "i", "e")).alias("kept"))
+    release(spark, asked)
+    kept = cut(spark, found.groupBy("s").agg(F.min(F.struct(*row, "i", "e")).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n"), "kept")
     here = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("version") == F.col("kept.version"))
     other = found.join(kept, "s").filter(~(here & (F.col("i") == F.col("kept.i"))))
     # a later copy that overlaps the first one leaves it whole
@@ -138,7 +195,9 @@ def repeated_ranges(spark: SparkSession, stored: DataFrame) -> DataFrame:
     w = Window.partitionBy(*row).orderBy("a", "b")
     other = other.withColumn("new", F.when(F.col("a") > F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1)), 1).otherwise(0))
     other = other.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*row, "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return other.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone"))
+    gone = cut(spark, other.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("gone")), "gone")
+    release(spark, found, kept)
+    return gone
 
 
 def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -147,12 +206,12 @@ def apply(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Removed are repeated chunks and, whatever their line lengths, repeated passages of ``WORDS`` words or more in whole lines, which
     are compared without the white space around their lines. Documents that lose nothing stay as they are, empty ones included.
     """
-    stored = cut(spark, ranges(docs, tuple(docs.columns)), "lines")
+    stored = cut(spark, cut_lines(docs, tuple(docs.columns)), "lines")
     gone = F.col("gone")
     start = lambda j: F.coalesce(F.get(gone, j - 1)["b"] + 1, F.lit(0))
     stop = lambda j: F.coalesce(F.get(gone, j)["a"], F.size("lines"))
     left = F.array_join(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: F.when(stop(j) > start(j), F.array_join(_part("lines", start(j), stop(j) - start(j)), ""))), "")
-    d = stored.drop("units").join(repeated_ranges(spark, stored), ["doc_id", "version"], "left").withColumn("left", F.when(gone.isNotNull(), left))
+    d = stored.drop("chunks", "at", "words", "hs").join(repeated_ranges(spark, stored), ["doc_id", "version"], "left").withColumn("left", F.when(gone.isNotNull(), left))
     d = d.filter(F.col("left").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.coalesce("left", F.when(~F.col("__text"), F.array_join("lines", "")))}
     if "n_chars" in docs.columns:
