@@ -42,8 +42,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("n_removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("kept_md5"))
 
 
+#: Session setting with the path of a token cache to keep; without it a run starts a new one and encodes every content.
+TOKEN_CACHE = "spark.veriset.tokenCache"
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts.count_tokens(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
+    docs, cache = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(TOKEN_CACHE, None)
+    found = token_counts.count_tokens(spark, docs, tokenizer_file("byte_bpe_50k.json"), cache)
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
@@ -62,12 +67,12 @@ def _judged(scores: DataFrame, divisor: int, rest: int) -> DataFrame:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return _judged(quality_classifier.score(docs, quality_classifier.fit(docs, labels, remainder(3) != 1)), 3, 1)
+    return _judged(quality_classifier.score(docs, quality_classifier.fit(spark, docs, labels, remainder(3) != 1)), 3, 1)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return _judged(toxicity.score(docs, toxicity.fit(docs, labels, remainder(5) != 0)), 5, 0)
+    return _judged(toxicity.score(docs, toxicity.fit(spark, docs, labels, remainder(5) != 0)), 5, 0)
 
 
 QUERIES = {q.__name__: q for q in (op1_simhash, op2_pii, op3_quality_rules, op4_decontamination, op5_line_dedup, op6_token_counts, op7_suffix_dedup, op8_packing, op9_quality_classifier, op10_toxicity)}
