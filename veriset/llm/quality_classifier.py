@@ -2,12 +2,13 @@
 
 Words and their character n-grams are hashed to learned vectors; a document is the average of all of them, and a
 softmax layer gives the class. Vectors and layer are trained by stochastic gradient descent in numpy on a bounded
-sample of labelled documents (``BOUND`` a class). Scoring covers whole texts: since average and layer are linear, each
+sample of labelled documents (``BOUND`` a class, and the bytes of ``samples``), in one task. Scoring covers whole texts: since average and layer are linear, each
 word contributes one number and a count, which a worker remembers unless the word is very long. Words count whole: a long one
 is scored in pieces, with all its n-grams.
 
 Texts without words, nulls included, score by the layer's bias. Without labels of both classes every score is the
-share of label 1 (0.5 without labels). Repeated rows score alike. Extra columns are ignored.
+share of label 1 (0.5 without labels). Very long texts and words are read whole. Repeated rows score alike. Extra columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,17 +18,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, text_of
+from .common import by_value, from_one_task, text_of
 from .samples import labelled
 
 by_value(__name__)
 
 BOUND = 1500
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 5, 0.5
-#: The bucket of a word that repeats the word before it.
+#: The bucket of word pairs of equal words: the one word n-gram besides single words. The README has figures without it.
 AGAIN = BUCKETS
 NGRAMS = (3, 4)
 REMEMBER = 1_000_000
@@ -135,21 +136,27 @@ def train(texts: list[str], y: list[int], share: float, seed: int = 42) -> Model
     return Model(e @ (w[1] - w[0]), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, bound: int = BOUND) -> Model:
-    texts, y = labelled(docs, labels, "quality", usable, bound)
-    share = labels.filter(usable).agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    if len(set(y)) < 2:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column, bound: int = BOUND) -> Model:
+    sample, share = labelled(spark, docs, labels, "quality", usable, bound)
+    if not share or share == 1:
         share = 0.5 if share is None else min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS + 1), float(np.log(share / (1 - share))))
-    return train(texts, y, share)
+
+    def in_task(rows):
+        some = sorted((r["doc_id"], r["text"], r["y"]) for r in rows)
+        model = train([t for _, t, _ in some], [y for _, _, y in some], share)
+        return {"gain": model.gain, "bias": model.bias}
+
+    found = from_one_task(sample, in_task)
+    return Model(**found) if found else Model(np.zeros(BUCKETS + 1), float(np.log(share / (1 - share))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast({"gain": model.gain, "bias": model.bias})
 
     def run(batches):
-        m, memory = sent.value, Memory(sent.value.gain)
+        m, memory = Model(**sent.value), Memory(sent.value["gain"])
         for b in batches:
             s = [m.score(t, memory) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
