@@ -60,9 +60,12 @@ def tokenizer(path: str):
 
 
 def _core(word: str) -> str:
-    """The word without the marks at its end, if a letter stands before them; letters and marks are never merged."""
+    """The word without the marks at its end, if a letter stands before them; letters and marks are never merged.
+
+    A letter whose lower case ends in a combining mark (İ) is left with them: that mark merges with others.
+    """
     core = word.rstrip(_END)
-    return core if core and core[-1] < "ɐ" and core[-1].isalpha() else word
+    return core if core and core[-1] < "ɐ" and core[-1].isalpha() and len(core[-1].lower()) == 1 else word
 
 
 def _memory(name: str) -> dict:
