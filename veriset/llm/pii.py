@@ -1,39 +1,45 @@
 """Personal data: pattern matches, and a skip-chain conditional random field over what they leave.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The field's tokens are those
-matches and all other chunks that look like numbers or addresses. Its factors are token features, chain edges between
-neighbours, and skip edges between tokens of one document that are equal or alike (same digits, same address in
-another spelling), however far apart. Loopy message passing makes labels of alike tokens agree, so an entity
-that is written out once in a known form is found where it returns in another. Weights are trained on a bounded
-sample of documents, with the pattern matches as labels. Matches keep their labels; the field adds spans that
-overlap none of them.
-
-Null text is the empty text. Kinds are matched independently, so matches of different kinds may overlap. Skip
-edges join each token to the next one alike, so their number is linear in the tokens. Very long texts are handled whole.
-Repeated rows each get a row. Extra columns are ignored. An empty table gives an empty result.
+matches, whose labels are given, and all other chunks that look like numbers or addresses. Its factors are token features,
+chain edges between neighbours, and skip edges between tokens of one document that are equal or alike (same digits, same
+address in another spelling), however far apart. Loopy message passing runs until the messages stand still and makes labels of
+alike tokens agree, so an entity that is written out once in a known form is found where it returns in another. Matches
+keep their labels; the field adds spans that overlap none of them.
+
+All weights are trained together by the gradient of the likelihood, with the marginals of the same message passing. The
+sample (``BOUND`` documents and the bytes of ``samples``) is read whole in one task. The labels are the patterns' own matches, of
+which some are written in another spelling first (:func:`planted`), and "none" for the other tokens.
+
+Null text is the empty text. Kinds are matched independently, so matches of different kinds may overlap. A token has skip edges to
+the next and to the first token alike, so their number is linear in the tokens. Very long texts are handled whole. Ties between
+labels go to none. Repeated rows each get a row. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, text_of
+from .common import by_value, cut, from_one_task, text_of
+from .samples import BYTES, within
 
 by_value(__name__)
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
+#: Log potentials of tokens whose label is given.
+GIVEN = np.where(np.eye(len(LABELS)) == 1, 0.0, -30.0)
 #: Documents that the weights are trained on, at most.
 BOUND = 2000
-ROUNDS, DAMPING = 8, 0.5
-#: Most that a token's features, and an edge, can say for one label against another (log odds).
-MOST_TOKEN, MOST_EDGE = 3.0, 5.0
+#: Messages stand still when none changes by more than ``STILL``; rounds grow with the tokens, so that the last one hears of the first.
+DAMPING, STILL = 0.3, 1e-4
 NEIGHBOURS = 40
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -42,7 +48,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NUMBER = re.compile(r"[+(]?[0-9](?:[ ().\-/]{0,2}[0-9])+")
+_DIGITS = re.compile(r"[0-9]+")
+_NUMBER = re.compile(r"[+(]?[0-9](?:(?:\[\.\]| \. |[ ().\-/]{0,2})[0-9])+")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9.-]{1,255}")
 _WORD_BEFORE = re.compile(r"([^\W\d_]+)[^\w]{0,3}$")
 
@@ -117,70 +124,114 @@ def alike(chunk: str) -> str:
 
 def token_features(text: str, a: int, b: int) -> list[str]:
     chunk = text[a:b]
-    n = len(_DIGIT.findall(chunk))
+    groups = _DIGITS.findall(chunk)
+    n = sum(map(len, groups))
     m = _WORD_BEFORE.search(text, max(0, a - 24), a)
-    out = ["bias", f"digits{min(n, 20)}", f"dots{min(chunk.count('.'), 4)}", f"spaces{min(chunk.count(' '), 4)}", f"dashes{min(chunk.count('-'), 4)}", f"before:{m[1].lower() if m else ''}"]
-    out += [name for name, c in (("at", "@"), ("plus", "+"), ("bracket", "(")) if c in chunk]
-    if 14 <= n <= 19 and luhn("".join(_DIGIT.findall(chunk))):
+    out = ["bias", f"digits{min(n, 20)}", "groups" + "-".join(str(min(len(g), 9)) for g in groups[:8]), "marks" + "".join(sorted(set(chunk) & set(" ()[].-/+@"))), f"before:{m[1].lower() if m else ''}"]
+    if "@" in chunk or "at)" in chunk or "at]" in chunk:
+        out.append("address")
+    if 14 <= n <= 19 and luhn("".join(groups)):
         out.append("luhn")
+    if len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups):
+        out.append("four bytes")
     return out
 
 
+def edges_of(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Pairs of token numbers, with 1 for skip edges: each token meets its neighbour, and the last and the first token alike."""
+    pairs: list[tuple[int, int, int]] = []
+    last: dict[str, int] = {}
+    first: dict[str, int] = {}
+    for i, (a, b, _) in enumerate(found):
+        if i and a - found[i - 1][1] <= NEIGHBOURS:
+            pairs.append((i - 1, i, 0))
+        key = alike(text[a:b])
+        if len(key) > 6:
+            if key in last:
+                pairs.append((last[key], i, 1))
+                if first[key] != last[key]:
+                    pairs.append((first[key], i, 1))
+            last[key] = i
+            first.setdefault(key, i)
+    return pairs
+
+
+class Messages:
+    """Damped loopy sum-product in the log domain, all messages at once, over a graph of tokens."""
+
+    def __init__(self, n: int, edges: list[tuple[int, int, int]]):
+        e = np.array(edges, np.int64).reshape(-1, 3)
+        self.n, self.pairs, self.skip = n, e[:, :2], e[:, 2] == 1
+        self.source, self.target = np.concatenate((self.pairs, self.pairs[:, ::-1])).T
+        m = len(e)
+        self.back = np.concatenate((np.arange(m) + m, np.arange(m)))
+        self.sent = np.zeros((2 * m, len(LABELS)))
+
+    def tables(self, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        return np.where(self.skip[:, None, None], skip, chain)
+
+    def beliefs(self, local: np.ndarray) -> np.ndarray:
+        out = local.copy()
+        np.add.at(out, self.target, self.sent)
+        return out
+
+    def run(self, local: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int) -> np.ndarray:
+        """Log beliefs after at most ``rounds`` rounds, fewer if the messages stand still."""
+        if len(self.pairs):
+            table = self.tables(chain, skip)
+            table = np.concatenate((table, table.transpose(0, 2, 1)))
+            for _ in range(rounds):
+                x = (self.beliefs(local)[self.source] - self.sent[self.back])[:, :, None] + table
+                top = x.max(1)
+                new = top + np.log(np.exp(x - top[:, None]).sum(1))
+                new -= new.max(1, keepdims=True).clip(-1e9)
+                new = DAMPING * self.sent + (1 - DAMPING) * new
+                change = np.abs(new - self.sent).max()
+                self.sent = new
+                if change < STILL:
+                    break
+        return self.beliefs(local)
+
+    def pair_marginals(self, beliefs: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Probabilities of the labels of each edge's two tokens."""
+        m = len(self.pairs)
+        one = beliefs[self.pairs[:, 0]] - self.sent[m:]
+        other = beliefs[self.pairs[:, 1]] - self.sent[:m]
+        x = one[:, :, None] + other[:, None, :] + self.tables(chain, skip)
+        x = np.exp(x - x.max((1, 2), keepdims=True))
+        return x / x.sum((1, 2), keepdims=True)
+
+
+def normal(beliefs: np.ndarray) -> np.ndarray:
+    p = np.exp(beliefs - beliefs.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 class Field:
-    """Weights: by feature and label, and by pair of labels for chain and skip edges."""
+    """Weights by feature and label, and by pair of labels for chain and skip edges; ``state`` has them plain, for workers."""
+
+    def __init__(self, state: dict):
+        self.weights, self.chain, self.skip = state["weights"], state["chain"], state["skip"]
 
-    def __init__(self, weights: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray):
-        self.weights, self.chain, self.skip = weights, chain, skip
+    @property
+    def state(self) -> dict:
+        return {"weights": self.weights, "chain": self.chain, "skip": self.skip}
 
     def potentials(self, text: str, found: list[tuple[int, int, int]]) -> np.ndarray:
         out = np.zeros((len(found), len(LABELS)))
         for i, (a, b, label) in enumerate(found):
             if label >= 0:
-                out[i] = -30.0
-                out[i, label] = 0.0
+                out[i] = GIVEN[label]
             else:
                 for f in token_features(text, a, b):
                     if f in self.weights:
                         out[i] += self.weights[f]
-                out[i] = np.clip(out[i] - out[i].max(), -MOST_TOKEN, 0)
         return out
 
-    def edges(self, text: str, found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of token numbers, and 1 for skip edges; each token meets its neighbour and the next token alike."""
-        pairs, last = [], {}
-        for i, (a, b, _) in enumerate(found):
-            if i and a - found[i - 1][1] <= NEIGHBOURS:
-                pairs.append((i - 1, i, 0))
-            key = alike(text[a:b])
-            if len(key) > 6:
-                if key in last:
-                    pairs.append((last[key], i, 1))
-                last[key] = i
-        e = np.array(pairs, np.int64).reshape(-1, 3)
-        return e[:, :2], e[:, 2]
-
     def posterior(self, text: str, found: list[tuple[int, int, int]]) -> np.ndarray:
-        """Marginals by damped loopy sum-product in the log domain, all messages at once."""
-        local = self.potentials(text, found)
-        pairs, kind = self.edges(text, found)
-        if len(pairs):
-            source, target = np.concatenate((pairs, pairs[:, ::-1])).T
-            table = np.where(kind[:, None, None] == 1, self.skip, self.chain)
-            table = np.concatenate((table, table.transpose(0, 2, 1)))
-            back = np.concatenate((np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))))
-            messages = np.zeros((len(source), len(LABELS)))
-            for _ in range(ROUNDS):
-                belief = local.copy()
-                np.add.at(belief, target, messages)
-                x = (belief[source] - messages[back])[:, :, None] + table
-                top = x.max(1)
-                new = top + np.log(np.exp(x - top[:, None]).sum(1))
-                new -= new.max(1, keepdims=True)
-                messages = DAMPING * messages + (1 - DAMPING) * new
-            local = local.copy()
-            np.add.at(local, target, messages)
-        p = np.exp(local - local.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        """Marginal label probabilities of each token."""
+        graph = Messages(len(found), edges_of(text, found))
+        return normal(graph.run(self.potentials(text, found), self.chain, self.skip, 2 * len(found) + 20))
 
 
 def spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -194,49 +245,104 @@ def spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tup
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def train(texts: list[str], rounds: int = 200, rate: float = 0.5, shrink: float = 1e-2) -> Field:
-    """Token weights by multinomial logistic regression and edge weights by smoothed pointwise mutual information, labels from the patterns."""
+def respelled(kind: str, chunk: str, way: int) -> str:
+    """A match in another spelling, of which there are several ways."""
+    groups = _DIGITS.findall(chunk)
+    if kind == "email":
+        return chunk.replace("@", ("(at)", " (at) ", "[at]", " @ ")[way % 4])
+    if kind == "ip":
+        return ("[.]", "-", " . ")[way % 3].join(groups)
+    digits = "".join(groups)
+    if kind == "card":
+        return (".", "/", "  ", ". ")[way % 4].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return ("00" + digits, digits, "-".join(groups), "(" + digits[:-10] + ") " + digits[-10:], ".".join(groups))[way % 5]
+
+
+def planted(text: str, seed: int) -> tuple[str, dict[tuple[int, int], str]]:
+    """The text with some of its matches in another spelling, at their place or once more at its end, and the kinds of these spans."""
+    rng = random.Random(seed)
+    base = base_spans(text)
+    out, last, made, again = [], 0, {}, []
+    size = 0
+    for k, a, b in base:
+        if a < last:
+            continue
+        new, what = respelled(k, text[a:b], rng.randrange(60)), rng.random()
+        out.append(text[last:a])
+        size += a - last
+        if what < 0.3:
+            made[size, size + len(new)] = k
+            out.append(new)
+            size += len(new)
+        else:
+            out.append(text[a:b])
+            size += b - a
+            if what < 0.6:
+                again.append((k, new))
+        last = b
+    out.append(text[last:])
+    size += len(text) - last
+    filler = text[:60].rsplit(" ", 1)[0]
+    for k, new in again:
+        out += [" ", filler, " ", new]
+        size += len(filler) + 2
+        made[size, size + len(new)] = k
+        size += len(new)
+    return "".join(out), made
+
+
+def train(texts: list[str], rounds: int = 150, rate: float = 0.5, shrink: float = 2e-3) -> Field:
+    """All weights by the gradient of the likelihood of the labels that aren't given; marginals by message passing over all texts at once."""
     n = len(LABELS)
     index: dict[str, int] = {}
-    rows, y = [], []
-    chain, skip = np.ones((n, n)), np.ones((n, n)) * 0.1
-    for text in texts:
+    flat, owner, y, given, edges = [], [], [], [], []
+    for seed, original in enumerate(texts):
+        text, made = planted(original, seed)
         found = tokens(text, base_spans(text))
-        if not found:
-            continue
-        labels = [max(k, 0) for _, _, k in found]
-        for (a, b, _), k in zip(found, labels):
-            rows.append([index.setdefault(f, len(index)) for f in token_features(text, a, b)])
+        start = len(y)
+        for a, b, label in found:
+            k = LABELS.index(next((kind for (p, q), kind in made.items() if p < b and a < q), "none")) if label < 0 else label
+            if label < 0:
+                its = [index.setdefault(f, len(index)) for f in token_features(text, a, b)]
+                flat += its
+                owner += [len(y)] * len(its)
             y.append(k)
-        pairs, kind = Field({}, chain, skip).edges(text, found)
-        for (i, j), k in zip(pairs.tolist(), kind.tolist()):
-            for u, v in ((labels[i], labels[j]), (labels[j], labels[i])):
-                (skip if k else chain)[u, v] += 1
-    # alike tokens are one thing: what a match says of one holds for the other, in whatever spelling
-    skip[0, 1:] = skip[1:, 0] = 0.1
-    skip += np.eye(n)
-    info = lambda c: np.clip(np.log(c * c.sum() / np.outer(c.sum(1), c.sum(0))), -MOST_EDGE, MOST_EDGE)
-    weights = np.zeros((len(index), n))
-    if rows:
-        flat, owner = np.concatenate([np.array(r) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        target = np.eye(n)[y]
-        for _ in range(rounds):
-            z = np.zeros((len(rows), n))
-            np.add.at(z, owner, weights[flat])
-            p = np.exp(z - z.max(1, keepdims=True))
-            g = np.zeros_like(weights)
-            np.add.at(g, flat, (p / p.sum(1, keepdims=True) - target)[owner] / len(rows))
-            weights -= rate * (g + shrink * weights)
-    return Field({f: weights[i] for f, i in index.items()}, info(chain), info(skip))
-
-
-def fit(docs: DataFrame, bound: int = BOUND) -> Field:
+            given.append(label >= 0)
+        edges += [(i + start, j + start, kind) for i, j, kind in edges_of(text, found)]
+    weights, chain, skip = np.zeros((len(index), n)), np.zeros((n, n)), np.zeros((n, n))
+    if not index:
+        return Field({"weights": {}, "chain": chain, "skip": skip})
+    labels, known = np.array(y), np.array(given)
+    flat, owner = np.array(flat), np.array(owner)
+    graph, target = Messages(len(y), edges), np.eye(n)[labels]
+    seen = np.eye(n)[labels[graph.pairs[:, 0]]][:, :, None] * np.eye(n)[labels[graph.pairs[:, 1]]][:, None, :]
+    count = np.bincount(flat, minlength=len(index))[:, None]
+    speed = [np.full(w.shape, 1e-8) for w in (weights, chain, skip)]
+    for _ in range(rounds):
+        local = np.zeros((len(y), n))
+        np.add.at(local, owner, weights[flat])
+        local[known] = GIVEN[labels[known]]
+        beliefs = graph.run(local, chain, skip, 4)  # messages go on from those of the round before
+        off = normal(beliefs) - target
+        by_feature = np.zeros_like(weights)
+        np.add.at(by_feature, flat, off[owner])
+        by_edge = graph.pair_marginals(beliefs, chain, skip) - seen
+        gradients = (by_feature / np.sqrt(count), by_edge[~graph.skip].sum(0), by_edge[graph.skip].sum(0))
+        for w, g, v in zip((weights, chain, skip), gradients, speed):
+            g = g + shrink * len(y) ** 0.5 * w
+            v += g * g
+            w -= rate * g / np.sqrt(v)
+    return Field({"weights": {f: weights[i] for f, i in index.items()}, "chain": chain, "skip": skip})
+
+
+def fit(spark: SparkSession, docs: DataFrame, bound: int = BOUND) -> Field:
     """A field trained on at most ``bound`` documents with tokens, chosen by hash of the id."""
-    some = docs.select("doc_id", text_of().alias("text")).filter(F.col("text").rlike(r"[0-9].{0,12}[0-9]|@"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[0-9].{0,12}[0-9]|@"))
     # the hash orders all documents, so the sample doesn't depend on how they are stored
-    ids = some.select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(bound).select("doc_id")
-    got = sorted(((r[0] is None, r[0] or 0, r[1]) for r in some.join(F.broadcast(ids), "doc_id").toLocalIterator()))
-    return train([t for _, _, t in got])
+    ids = some.select("doc_id", F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id").limit(bound).select("doc_id").distinct()
+    sample = within(cut(spark, some.join(F.broadcast(ids), "doc_id"), "sample"), [], [F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")], BYTES)
+    state = from_one_task(sample, lambda rows: train([t for _, t in sorted((r["doc_id"], r["text"]) for r in rows)]).state)
+    return Field(state) if state else train([])
 
 
 def _written(found: list[tuple[str, int, int]]) -> str:
@@ -245,13 +351,14 @@ def _written(found: list[tuple[str, int, int]]) -> str:
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans): counts and text form of the pattern matches, and of all spans."""
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = docs.sparkSession.sparkContext.broadcast(field.state)
 
     def run(batches):
+        field = Field(sent.value)
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for t in b.column(1).to_pylist():
-                base, every = spans(t, sent.value)
+                base, every = spans(t, field)
                 kinds = [k for k, _, _ in base]
                 for column, v in zip(out, (*map(kinds.count, KINDS), _written(base), _written(every))):
                     column.append(v)
