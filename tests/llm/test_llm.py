@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the libraries, and DuckDB, and their edge cases."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -198,6 +199,71 @@ def test_pii_labels_spread_to_alike_tokens():
     assert "[card]" in pii.redact(t, every)
 
 
+def pii_texts(n, seed):
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = digits(15)
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    words = lambda: " ".join(rng.choice(["order", "call", "ref", "the", "ship", "note", "pay"]) for _ in range(rng.randint(3, 12)))
+    made = lambda: rng.choice([card(), f"+{digits(2)} {digits(3)} {digits(7)}", f"u{digits(3)}@mail{digits(1)}.com", ".".join(str(rng.randint(0, 255)) for _ in range(4)), digits(rng.choice([6, 7, 8, 12])), f"{digits(4)}-{digits(2)}-{digits(2)}"])
+    return [" ".join(f"{words()} {made()}" for _ in range(rng.randint(1, 5))) + " " + words() for _ in range(n)]
+
+
+def test_pii_adds_respelled_spans():
+    """Precision and recall of the added spans on texts whose matches were partly respelled."""
+    field = pii.train(pii_texts(600, 1))
+    hit = made_up = missed = 0
+    for seed, t in enumerate(pii_texts(400, 2)):
+        text, planted = pii.planted(t, 10**6 + seed)
+        base, every = pii.spans(text, field)
+        assert base == pii.base_spans(text) and set(base) <= set(every)
+        want = {(k, a, b) for (a, b), k in planted.items()}
+        more = set(every) - set(base)
+        near = lambda x, ys: any(x[0] == k and x[1] < b and a < x[2] for k, a, b in ys)
+        hit += sum(near(w, more | set(base)) for w in want)
+        missed += sum(not near(w, more | set(base)) for w in want)
+        made_up += sum(not near(m, want) for m in more)
+    assert hit / (hit + missed) > 0.9 and hit / (hit + made_up) > 0.9
+
+
+def test_pii_marginals_are_exact_on_trees():
+    rng = np.random.default_rng(4)
+    n, k = 5, len(pii.LABELS)
+    edges = [(0, 1, 0), (1, 2, 0), (1, 3, 1), (3, 4, 0)]
+    local, chain, skip = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.normal(size=(k, k))
+    graph = pii.Messages(n, edges)
+    beliefs = graph.run(local, chain, skip, 200)
+    want, pair = np.zeros((n, k)), np.zeros((len(edges), k, k))
+    for labels in itertools.product(range(k), repeat=n):
+        p = np.exp(sum(local[i, x] for i, x in enumerate(labels)) + sum((skip if s else chain)[labels[i], labels[j]] for i, j, s in edges))
+        for i, x in enumerate(labels):
+            want[i, x] += p
+        for e, (i, j, _) in enumerate(edges):
+            pair[e, labels[i], labels[j]] += p
+    assert np.allclose(pii.normal(beliefs), want / want.sum(1, keepdims=True), atol=1e-3)
+    assert np.allclose(graph.pair_marginals(beliefs, chain, skip), pair / pair.sum((1, 2), keepdims=True), atol=1e-3)
+
+
+def test_pii_labels_reach_the_fiftieth_return():
+    field = pii.train(pii_texts(600, 1))
+    text = "pay 4111 1111 1111 1111 now" + "".join(f" word{i} and then 4111.1111.1111.1111 again," for i in range(50))
+    base, every = pii.spans(text, field)
+    assert len(base) == 1 and [k for k, _, _ in every] == ["card"] * 51
+
+
+def test_pii_query(spark, docs):
+    got = {r.doc_id: r for r in queries.op2_pii(spark, DATA).collect()}
+    for r in docs.collect():
+        base = plain_spans(r.text or "")
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        q = got[r.doc_id]
+        assert [q.n_email, q.n_ip, q.n_card, q.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        assert q.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and set(filter(None, want.split(","))) <= set(q.spans.split(","))
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------
 
 def test_lines_once(spark):
@@ -467,7 +533,7 @@ def with_copies(docs):
 OPERATORS = {
     "simhash": lambda s, d, b: simhash.near_duplicates(s, d),
     "simhash wide": lambda s, d, b: simhash.near_duplicates(s, d, 5, 16, 160, share=0.15),
-    "pii": lambda s, d, b: pii.find(d, pii.fit(d)),
+    "pii": lambda s, d, b: pii.find(d, pii.fit(s, d)),
     "quality rules": lambda s, d, b: quality_rules.judge(s, d),
     "decontamination": lambda s, d, b: decontam.report(s, d, b),
     "line dedup": lambda s, d, b: line_dedup.deduplicated(s, d),
