@@ -1,23 +1,49 @@
-"""Scalar expressions: text, decisions, effect sizes and a portable generator. All are built-in Column expressions."""
+"""Scalar expressions: text, decisions, effect sizes and a portable generator.
+
+All are built-in expressions but two Pandas functions for rare texts: compatibility forms, and texts with several pairs of braces.
+"""
 
 from __future__ import annotations
 
+import json
+import math
+import re
+import sys
+import unicodedata
 from functools import reduce
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import vocabulary as V
 
+# workers get the functions of this module by value, so they need no path to the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def portable_int(*parts) -> Column:
     """First 8 hexadecimal digits of the MD5 of the parts joined by a bar: the same integer in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.lit(p) if not isinstance(p, Column) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
+@F.pandas_udf(StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility form. Texts of ASCII and Cyrillic letters, which are in it already, don't go to Python."""
+    other = text.rlike(r"[^\x00-\x7F\u0400-\u04FF]")
+    return F.when(other, _nfkc(F.when(other, text))).otherwise(text)
+
+
 def normalise(text: Column) -> Column:
-    """Lower-cased text without outer punctuation, inner white space single."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, r"^[\s.,;:!?\"'`*_()\[\]{}]+|[\s.,;:!?\"'`*_()\[\]{}]+$", ""), r"\s+", " "))
+    """Compatibility form in lower case, without outer white space and marks, inner white space single."""
+    bare = F.regexp_replace(F.regexp_replace(nfkc(text), r"(?U)^\s+|\s+$", ""), V.OUTER_MARKS, "")
+    return F.lower(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
 def decision_of(value: Column) -> Column:
@@ -36,10 +62,55 @@ def outcome_of(decision: Column) -> Column:
     return F.when(decision.isin(V.HIRE, V.REJECT), "decided").when(decision == V.REFUSED, "refused").otherwise("invalid")
 
 
+_TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|[{}"]', re.S)
+
+
+def _balanced(text: str, start: int) -> str | None:
+    """The text from the brace at ``start`` to the one that closes it; braces in double quotes don't count."""
+    depth = 0
+    for m in _TOKEN.finditer(text, start):
+        if m[0] == '"':  # a quote without an end
+            return None
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if not depth:
+            return text[start : m.end()]
+    return None
+
+
+def _mended(blob: str) -> str:
+    """Without trailing commas; single quotes become double where no double ones are."""
+    blob = re.sub(r",\s*([}\]])", r"\1", blob)
+    return blob if '"' in blob else blob.replace("'", '"')
+
+
+def _object(text: str | None) -> str | None:
+    at = -1 if text is None else text.find("{")
+    while at >= 0:
+        blob = _balanced(text, at)
+        for attempt in () if blob is None else (blob, _mended(blob)):
+            try:
+                if isinstance(json.loads(attempt), dict):
+                    return attempt
+            except ValueError:
+                pass
+        at = text.find("{", at + 1)
+    return None
+
+
+@F.pandas_udf(StringType())
+def _objects(text: pd.Series) -> pd.Series:
+    return text.map(_object)
+
+
 def first_object(text: Column) -> Column:
-    """The JSON object from the first brace to the last, without trailing commas; single quotes become double where no double ones are."""
-    blob = F.regexp_replace(F.regexp_extract(text, r"(?s)(\{.*\})", 1), r",\s*([}\]])", "$1")
-    return F.when(blob.contains('"'), blob).otherwise(F.translate(blob, "'", '"'))
+    """The first balanced JSON object of a text, mended if need be; null without one.
+
+    A text with one pair of braces has it between them. Only texts with more are scanned in Python, in Arrow batches.
+    """
+    one = F.regexp_extract(text, r"(?s)^[^{}]*(\{[^{}]*\})[^{}]*$", 1)
+    blob = F.regexp_replace(one, r",\s*([}\]])", "$1")
+    many = (one == "") & text.contains("{")
+    return F.when(many, _objects(F.when(many, text))).when(one != "", F.when(blob.contains('"'), blob).otherwise(F.translate(blob, "'", '"')))
 
 
 def stems(attribute: Column) -> Column:
@@ -101,9 +172,24 @@ def safe_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "-"), F.lit("-"))
 
 
+def log_factorial(n: Column) -> Column:
+    """Logarithm of n!: exact to 20, by Stirling's series beyond (error under 1e-12)."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20))).cast("double"))).otherwise(series)
+
+
 def sign_test(a: Column, b: Column) -> Column:
-    """Exact two-sided binomial test of a against b at one half, by log sums; null without trials."""
-    n, k = (a + b).cast("int"), F.least(a, b).cast("int")
-    log_factorial = lambda m: F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda s, i: s + F.log(F.greatest(i, F.lit(1)).cast("double")))
-    tail = F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0))))
+    """Exact two-sided binomial test of a against b at one half; null without trials.
+
+    The tail is summed from its largest term down, each from the one before it. Ten standard deviations
+    further down nothing is left that a double could hold, so the steps grow with the root of the trials.
+    """
+    n, k = (a + b).cast("long"), F.least(a, b).cast("long")
+    largest = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2.0))
+    steps = F.least(k, (5 * F.sqrt(n) + 20).cast("long"))
+    down = F.when(steps > 0, F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    first = F.struct(largest.alias("term"), largest.alias("total"))
+    ratio = lambda i: (k - i + 1).cast("double") / (n - k + i)
+    tail = F.aggregate(down, first, lambda s, i: F.struct((s["term"] * ratio(i)).alias("term"), (s["total"] + s["term"] * ratio(i)).alias("total")), lambda s: s["total"])
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))

@@ -9,6 +9,8 @@ REFUSED_WORDS = ["cannot decide", "cannot determine", "unable to decide", "more
 HIRE_TOKENS = ["hire", "найняти", "наняти", "прийняти", "accept", "approve"]
 REJECT_TOKENS = ["reject", "відхилити", "decline", "відмовити"]
 ABSTAIN_PARTS = ["cannot", "unable", "не можу", "утрим"]
+# Fixed value: marks around a written decision that don't count.
+OUTER_MARKS = r"^[`*_ \t\n.:;\"']+|[`*_ \t\n.:;\"']+$"
 NEGATION = r"\b(not|don't|do not|cannot|can't|no)\b|\bне\b"
 
 # Phrases of a refusal in an answer without an object.

@@ -73,7 +73,7 @@ def effect_sizes(table: DataFrame, reference: str, cell: list[str] = CELL) -> Da
     """Each attribute's gap to the reference level and Cohen's h."""
     ref = table.filter(F.col("protected_attr") == reference).select(*cell, F.col("acceptance_rate").alias("ref_rate"))
     gap = F.col("acceptance_rate") - F.col("ref_rate")
-    return table.join(F.broadcast(ref), cell).filter(F.col("protected_attr") != reference).select(*cell, "protected_attr", rounded(gap).alias("gap"), rounded(S.cohens_h(F.col("acceptance_rate"), F.col("ref_rate"))).alias("cohens_h"))
+    return table.join(ref, cell).filter(F.col("protected_attr") != reference).select(*cell, "protected_attr", rounded(gap).alias("gap"), rounded(S.cohens_h(F.col("acceptance_rate"), F.col("ref_rate"))).alias("cohens_h"))
 
 
 def largest_gap(effects: DataFrame, cell: list[str] = CELL) -> DataFrame:
@@ -85,7 +85,7 @@ def largest_gap(effects: DataFrame, cell: list[str] = CELL) -> DataFrame:
 def disparity(table: DataFrame, cells: DataFrame, effects: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """Range, spread and mean absolute deviation of acceptance over the attributes of a cell, and mean absolute h."""
     pop = cells.select(*cell, F.col("acceptance_rate").alias("pop"))
-    spread = table.join(F.broadcast(pop), cell).groupBy(*cell).agg(
+    spread = table.join(pop, cell).groupBy(*cell).agg(
         F.count("*").alias("n_attributes"),
         rounded(F.max("acceptance_rate") - F.min("acceptance_rate")).alias("ar_range"),
         rounded(F.stddev_pop("acceptance_rate")).alias("ar_sd"),
@@ -124,8 +124,7 @@ def stability(base: DataFrame, run: DataFrame, key: list[str], variant: list[str
     shared = base.join(run.select(*variant).distinct(), variant, "left_semi")
     left, right = (set_table(x, key).select(*key, "candidate_id", *[F.col(c).alias(f"{c}_{n}") for c in ("size", "n_decided", "unstable")]) for x, n in ((shared, "base"), (run, "run")))
     both = left.join(right.drop("candidate_id"), key)
-    most = both.agg(F.max("size_base").alias("most"))
-    return both.crossJoin(F.broadcast(most)).filter("n_decided_base = most and n_decided_run = most and size_base = size_run").drop("most")
+    return both.filter("n_decided_base = size_base and n_decided_run = size_run and size_base = size_run")
 
 
 def stability_summary(sets: DataFrame) -> DataFrame:
@@ -165,7 +164,7 @@ def additivity(cells: DataFrame, ref_a: str, ref_b: str) -> DataFrame:
 def exact_binary_test(table: DataFrame, cells: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """Resampling test of a binary rate against its cell, in closed form: sums of n draws are binomial."""
     pop = cells.select(*cell, F.col("acceptance_rate").alias("pop"))
-    d = table.join(F.broadcast(pop), cell).filter("n_decided > 0")
+    d = table.join(pop, cell).filter("n_decided > 0")
     n, q = F.col("n_decided").cast("int"), F.col("pop")
     far = F.abs(F.col("acceptance_rate") - q) - 1e-9
     # log-probabilities by a running ratio: each term follows from the one before
@@ -216,7 +215,7 @@ def recurrence(verdicts: DataFrame) -> DataFrame:
 def baseline_delta(runs: DataFrame, baselines: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Each run beside its own baseline; null where there is none."""
     b = baselines.select(*keys, *[F.col(c).alias(f"{c}_baseline") for c in columns])
-    d = runs.join(F.broadcast(b), keys, "left")
+    d = runs.join(b, keys, "left")
     return d.select(*keys, *columns, *[f"{c}_baseline" for c in columns], *[rounded(F.col(c) - F.col(f"{c}_baseline")).alias(f"{c}_delta") for c in columns])
 
 

@@ -166,7 +166,7 @@ def set_sql(v: str, key: str) -> str:
 
 SHARED = f"(SELECT * FROM {v1()} WHERE (protected_group, protected_attr) IN (SELECT DISTINCT protected_group, protected_attr FROM {v1(4)} WHERE protected_attr IN ('A', 'N')))"
 PAIRED = f"""(SELECT b.*, r.unstable AS unstable_run, b.unstable AS unstable_base FROM {set_sql(SHARED, 'pair_id, condition')} b JOIN {set_sql(f"(SELECT * FROM {v1(4)} WHERE protected_attr IN ('A', 'N'))", 'pair_id, condition')} r USING (pair_id, condition)
- WHERE b.n_decided = 2 AND r.n_decided = 2 AND b.size = r.size)"""
+ WHERE b.n_decided = b.size AND r.n_decided = r.size AND b.size = r.size)"""
 
 
 def _binom(a: str, b: str) -> str:
