@@ -142,7 +142,7 @@ def _sets(threshold: int) -> str:
 
 def _change(threshold: int) -> str:
     """Stability and utility of one run against the threshold 5, over complete, decided sets."""
-    return f"""SELECT 't{threshold}' AS run, count(*) FILTER (b.u = 1 AND r.u = 0) AS fixed, count(*) FILTER (b.u = 0 AND r.u = 1) AS broken, count(*) AS sets FROM {_sets(5)} b JOIN {_sets(threshold)} r USING (pair_id, condition) WHERE b.size = r.size AND b.n = r.n AND b.n = (SELECT max(x.n) FROM {_sets(5)} x JOIN {_sets(threshold)} y USING (pair_id, condition))"""
+    return f"""SELECT 't{threshold}' AS run, count(*) FILTER (b.u = 1 AND r.u = 0) AS fixed, count(*) FILTER (b.u = 0 AND r.u = 1) AS broken, count(*) AS sets FROM {_sets(5)} b JOIN {_sets(threshold)} r USING (pair_id, condition) WHERE b.size = r.size AND b.n = b.size AND r.n = r.size"""
 
 
 def _usage(threshold: int) -> str:
