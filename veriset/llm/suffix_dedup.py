@@ -12,7 +12,7 @@ they report for a document, by binary search.
 Exact copies share one digest and one set of anchors; all of a copied text of ``LENGTH`` bytes or more goes. An anchor that
 occurs ``HOT`` times or more is split further by the 16 bytes left or right of it, whichever lies inside the window.
 
-A row is known by its doc_id and the digest of its text, so rows that repeat a doc_id or have none are documents of their own:
+A row is known by its doc_id and a 64-bit hash t of its text, so rows that repeat a doc_id or have none are documents of their own:
 with equal texts they are copies, with different texts they share nothing. Null text is the empty text. Ties don't arise. Very
 long texts are hashed in chunks. Extra columns are ignored; empty tables give empty results.
 """
@@ -87,22 +87,23 @@ def anchors(raw: bytes, table: np.ndarray, up: np.ndarray, down: np.ndarray) ->
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(id, digest, h array, p array) of (id, digest, text): p packs place, windows before and number of windows of each anchor."""
+    """(id, t, digest, h array, p array) of (id, t, text): p packs place, windows before and number of windows of each anchor."""
 
     def run(batches):
         table, (up, down) = _table(), _powers(CHUNK)
         for b in batches:
-            hs, ps = [], []
+            digests, hs, ps = [], [], []
             for t in b.column(2).to_pylist():
                 raw = t.encode("utf-8", "surrogatepass")
                 at, first, count, h = anchors(raw, table, up, down)
+                digests.append(hashlib.sha256(raw).digest()[:16])
                 hs.append(h)
                 ps.append(at << 16 | (at - first) << 8 | (count - 1))
             ends = np.cumsum([0, *map(len, hs)]).astype(np.int32)
             flat = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*x, np.empty(0, np.int64)]))) for x in (hs, ps)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *flat], names=["id", "digest", "h", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.binary()), *flat], names=["id", "t", "digest", "h", "p"])
 
-    return docs.mapInArrow(run, "id long, digest binary, h array<bigint>, p array<bigint>")
+    return docs.mapInArrow(run, "id long, t long, digest binary, h array<bigint>, p array<bigint>")
 
 
 def windows_of(raw: bytes, picked: list) -> list[tuple[int, int, int, bytes]]:
@@ -212,18 +213,18 @@ def _intervals(flags: np.ndarray, first: int) -> list[tuple[int, int]]:
     return [(first + int(a), first + int(b) + LENGTH - 1) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def shard(rows) -> list[tuple[int, bytes, int, int]]:
-    """(id, digest, start, stop) of the bytes that repeat, from a shard's (key, id, digest, first, n, bytes) rows."""
-    members: dict[tuple[int, bytes, int], list[tuple[int, bytes, int]]] = {}
-    for key, doc, digest, first, n, raw in rows:
-        members.setdefault((key, raw, n), []).append((doc, digest, first))
+def shard(rows) -> list[tuple[int, int, int, int]]:
+    """(id, t, start, stop) of the bytes that repeat, from a shard's (key, id, t, first, n, bytes) rows."""
+    members: dict[tuple[int, bytes, int], list[tuple[int, int, int]]] = {}
+    for key, doc, tag, first, n, raw in rows:
+        members.setdefault((key, raw, n), []).append((doc, tag, first))
     # bytes that are the only ones under their key need no array: they repeat if they have several members
     kinds = Counter(key for key, _, _ in members)
     groups = [g for g in members if kinds[g[0]] > 1]
-    out: list[tuple[int, bytes, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     for g, places in members.items():
         if kinds[g[0]] == 1 and len(places) > 1:
-            out += [(doc, digest, first, first + g[2] + LENGTH - 1) for doc, digest, first in places]
+            out += [(doc, tag, first, first + g[2] + LENGTH - 1) for doc, tag, first in places]
     flags: list = [None] * len(groups)
     at = 0
     while at < len(groups):  # the keys of a shard, in runs of about SHARD bytes that don't split a key
@@ -236,8 +237,8 @@ def shard(rows) -> list[tuple[int, bytes, int, int]]:
     for g, f in zip(groups, flags):
         places = members[g]
         f = np.ones(g[2], bool) if len(places) > 1 else f
-        for doc, digest, first in places if f.any() else ():
-            out += [(doc, digest, a, b) for a, b in _intervals(f, first)]
+        for doc, tag, first in places if f.any() else ():
+            out += [(doc, tag, a, b) for a, b in _intervals(f, first)]
     return out
 
 
@@ -253,13 +254,13 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, digest, spans) of the repeated bytes of documents without copies, and (id, digest) of those with copies, for (id, digest, text)."""
-    row = ["id", "digest"]
+    """(id, t, spans) of the repeated bytes of documents without copies, and (id, t) of those with copies, for (id, t, text)."""
+    row = ["id", "t"]
     scanned = cut(spark, scan(docs), "anchors")
-    contents = scanned.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    contents = scanned.groupBy("digest").agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("copies"))
     # one row of each content has its anchors looked up
-    copied = scanned.select(*row).join(contents.filter("copies > 1"), "digest").select(*row).distinct()
-    single = contents.select(F.col("rep").alias("id"), "digest")
+    copied = scanned.select(*row, "digest").join(contents.filter("copies > 1"), "digest").select(*row).distinct()
+    single = contents.select("rep.*")
     flat = scanned.select(*row, F.xxhash64("digest").alias("d"), F.arrays_zip("h", "p").alias("z")).select(*row, "d", F.inline("z"))
     again = flat.groupBy("h").agg(F.min(F.xxhash64("d", "p")).alias("lo"), F.max(F.xxhash64("d", "p")).alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("h", (F.col("n") >= HOT).alias("hot"))
     picked = flat.select(*row, "h", "p").join(again, "h").groupBy(*row).agg(F.collect_set(F.struct("h", "p", "hot")).alias("picked"))
@@ -267,22 +268,22 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Dat
 
     def emit(batches):
         for b in batches:
-            rows = [(key, doc, digest, first, n, raw) for doc, digest, t, found in zip(*(b.column(c).to_pylist() for c in ("id", "digest", "text", "picked"))) for key, first, n, raw in windows_of(t.encode("utf-8", "surrogatepass"), [(x["h"], x["p"], x["hot"]) for x in found])]
+            rows = [(key, doc, tag, first, n, raw) for doc, tag, t, found in zip(*(b.column(c).to_pylist() for c in ("id", "t", "text", "picked"))) for key, first, n, raw in windows_of(t.encode("utf-8", "surrogatepass"), [(x["h"], x["p"], x["hot"]) for x in found])]
             for i in range(0, len(rows), 20_000):
                 part = list(zip(*rows[i : i + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "id", "digest", "first", "n", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "id", "t", "first", "n", "raw"])
 
     def solve(batches):
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         found = shard(rows)
         for i in range(0, len(found), 100_000):
             part = list(zip(*found[i : i + 100_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["id", "digest", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], names=["id", "t", "a", "b"])
 
     total = picked.agg(F.sum(F.size("picked"))).first()[0] or 0
     parts = max(1, -(-total * (LENGTH + SIDE // 2) // SHARD))
-    rows = docs.join(picked, row).mapInArrow(emit, "key long, id long, digest binary, first long, n int, raw binary")
-    spans = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(solve, "id long, digest binary, a long, b long")
+    rows = docs.join(picked, row).mapInArrow(emit, "key long, id long, t long, first long, n int, raw binary")
+    spans = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(solve, "id long, t long, a long, b long")
     return spans.groupBy(*row).agg(F.collect_list(F.struct("a", "b")).alias("spans")), copied
 
 
@@ -290,7 +291,7 @@ def removal(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
     # the sentinel stands for null ids: joins then need no null check, and both use one exchange of the texts
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_of().alias("text"))
-    rows = rows.select("id", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("digest"), "text")
+    rows = rows.select("id", F.xxhash64("text").alias("t"), "text")
     spans, copied = repeated_spans(spark, rows)
 
     def finish(batches):
@@ -308,5 +309,5 @@ def removal(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 4 + (pa.string(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = rows.join(spans, ["id", "digest"], "left").join(copied.withColumn("copied", F.lit(True)), ["id", "digest"], "left")
+    found = rows.join(spans, ["id", "t"], "left").join(copied.withColumn("copied", F.lit(True)), ["id", "t"], "left")
     return found.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
