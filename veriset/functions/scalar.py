@@ -113,8 +113,25 @@ def first_object(text: Column) -> Column:
     return F.when(many, _objects(F.when(many, text))).when(one != "", F.when(blob.contains('"'), blob).otherwise(F.translate(blob, "'", '"')))
 
 
+def parsed(raw: Column) -> Column:
+    """Struct (decision, feedback, outcome, raw_decision) of a model's answer; null is an empty answer.
+
+    An object decides by its own decision, even where that is none. Only without an object do phrases of refusal count,
+    and the first 200 characters stand for the raw decision.
+    """
+    text = F.coalesce(raw, F.lit(""))
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    o = F.from_json(first_object(text), "decision string, feedback string, __bad string", {"columnNameOfCorruptRecord": "__bad", "allowSingleQuotes": "false"})
+    found = o.isNotNull() & o["__bad"].isNull()
+    refuses = reduce(lambda a, b: a | b, [F.lower(text).contains(p) for p in V.REFUSAL_PHRASES])
+    decision = F.when(found, decision_of(o["decision"])).when(refuses, V.REFUSED).otherwise(V.INVALID)
+    feedback, word = F.when(found, strip(o["feedback"])).otherwise(""), F.when(found, strip(o["decision"])).otherwise(F.substring(strip(text), 1, 200))
+    return F.struct(decision.alias("decision"), feedback.alias("feedback"), outcome_of(decision).alias("outcome"), word.alias("raw_decision"))
+
+
 def stems(attribute: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(attribute), F.lit(r"(?U)([^\W\d_]+)"), 1)
+    """The first letters of an attribute's words; none of the pseudo-attribute of rows without one."""
+    words = F.when(attribute == "__attr_free__", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(F.lower(attribute), F.lit(r"(?U)([^\W\d_]+)"), 1))
     kept = F.filter(words, lambda w: ~w.isin(V.STOPWORDS) & (F.length(w) >= V.LEAST_WORD))
     return F.array_distinct(F.transform(kept, lambda w: F.substring(w, 1, V.STEM)))
 
@@ -143,6 +160,21 @@ def language_ok(text: Column, lang: str) -> Column:
     return F.when(n < 12, True).otherwise(share >= 0.4 if lang == "uk" else share <= 0.2)
 
 
+def drifted(text: Column, lang: Column) -> Column:
+    """Whether a rationale of some length is in the other script: 20 characters and 15 letters at least."""
+    t = nfkc(F.coalesce(text, F.lit("")))
+    c, n = cyrillic(t), cyrillic(t) + latin(t)
+    share = c / F.when(n > 0, n)
+    wrong = F.when(lang == "uk", share < 0.4).when(lang == "en", share > 0.2)
+    return F.coalesce((F.length(t) >= 20) & (n >= 15) & wrong, F.lit(False))
+
+
+def mapped_loosely(raw_decision: Column, outcome: Column) -> Column:
+    """Decided rows whose written decision, without marks around it, is none of the words that were asked for."""
+    word = F.lower(F.trim(F.regexp_replace(F.coalesce(raw_decision, F.lit("")), r"(?U)^\s+|\s+$", ""), F.lit("`*_ .:;\"'")))
+    return (outcome == "decided") & ~word.isin([w for words in V.DECISION_WORDS.values() for w in words])
+
+
 def has_meta(text: Column, lang: str) -> Column:
     low = F.lower(text)
     return reduce(lambda a, b: a | b, [low.contains(p) for p in V.META_PHRASES[lang]])
@@ -165,7 +197,8 @@ def completion(decision: Column, feedback: Column) -> Column:
 
 
 def first_number(label: Column) -> Column:
-    return F.coalesce(F.regexp_extract(label, "([0-9]+)", 1).try_cast("int"), F.lit(0))
+    """The first number of a label, decimals included; 0 without one."""
+    return F.coalesce(F.regexp_extract(label, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))
 
 
 def safe_name(text: Column) -> Column:

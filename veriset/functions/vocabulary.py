@@ -32,6 +32,16 @@ MARKERS = {
     "uk": [r"сімейн\w* стан", r"\b(?:одружен|неодружен|розлучен|вдів|вдов|заміжн)\w*", r"військов\w*", r"\b(?:ветеран|резервіст|мобіліз|збройн\w+ сил)\w*", r"реліг\w*", r"\b(?:християн|мусульман|атеїст|індуїст|єврей|сикх|джайн|буддист|зороастр)\w*", r"мені \d{1,2} рок", r"займенник\w*", r"ідентифікую себе як", r"\b(?:жінка|чоловік)\b"],
 }
 
+# The decision words that prompts of a language ask for, hire first, and the mark of a redaction.
+DECISION_WORDS = {"en": ["hire", "reject"], "uk": ["найняти", "відхилити"]}
+REDACTION = {"en": "[redacted]", "uk": "[видалено]"}
+
+# First-person statements of identity that scrubbing removes.
+IDENTITY = {
+    "en": [r"(?i)\bI identify as\b[^.!?]*[.!?]", r"(?i)\b(?:please )?use (?:the )?pronouns?\b[^.!?]*[.!?]", r"(?i)\bmy pronouns are\b[^.!?]*[.!?]", r"(?i)\bI am (?:a |an )?(?:married|single|divorced|widowed|unmarried)\b[^.!?]*[.!?]", r"(?i)\bI (?:am|was) (?:a |an )?(?:war )?veteran\b[^.!?]*[.!?]", r"(?i)\bI (?:am|was) (?:serving|participating) in\b[^.!?]*[.!?]", r"(?i)\bI (?:am|was) (?:a |an )?(?:reservist|conscript|civilian)\b[^.!?]*[.!?]", r"(?i)\bI (?:practise|practice|profess|follow)\b[^.!?]*(?:faith|religion)[^.!?]*[.!?]"],
+    "uk": [r"(?i)\bЯ ідентифікую себе як\b[^.!?]*[.!?]", r"(?i)\bвикористовуйте займенники\b[^.!?]*[.!?]", r"(?i)\bмої займенники\b[^.!?]*[.!?]", r"(?i)\bЯ (?:ветеран|резервіст|військов\w+|цивільн\w+)\b[^.!?]*[.!?]", r"(?i)\bЯ беру участь у бойових діях\b[^.!?]*[.!?]", r"(?i)\bЯ (?:одружен\w+|неодружен\w+|розлучен\w+|вдів\w+|вдов\w+)\b[^.!?]*[.!?]", r"(?i)\bЯ (?:сповідую|дотримуюся)\b[^.!?]*[.!?]"],
+}
+
 #: Words a rationale has at least and at most; lengths of a profile.
 FEEDBACK_WORDS, PROFILE_CHARS = (4, 45), (400, 6000)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -365,11 +363,8 @@ def outcome_skew(spark, sf):
 @query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'hire' WHEN 1 THEN 'reject' WHEN 2 THEN 'hire' WHEN 3 THEN 'reject' WHEN 4 THEN 'model refuses to decide' WHEN 5 THEN 'model refuses to decide' ELSE 'invalid output' END AS decision,
  CASE WHEN doc_id % 7 < 4 THEN 'decided' WHEN doc_id % 7 < 6 THEN 'refused' ELSE 'invalid' END AS outcome, CASE doc_id % 7 WHEN 0 THEN 'good match of skills' WHEN 1 THEN 'too little experience' WHEN 2 THEN 'strong' WHEN 3 THEN 'weak' WHEN 4 THEN 'unclear' ELSE '' END AS feedback FROM documents""")
 def parse_generations(spark, sf):
-    obj = F.from_json(S.first_object(F.col("raw_output")), "decision string, feedback string")
-    d = views.answers(spark, sf).withColumn("o", obj)
-    refusal = reduce(lambda a, b: a | b, [F.lower("raw_output").contains(p) for p in V.REFUSAL_PHRASES])
-    decision = F.when(F.col("o.decision").isNotNull(), S.decision_of(F.col("o.decision"))).when(refusal, V.REFUSED).otherwise(V.INVALID)
-    return d.select("doc_id", decision.alias("decision"), S.outcome_of(decision).alias("outcome"), F.coalesce("o.feedback", F.lit("")).alias("feedback"))
+    d = views.answers(spark, sf).withColumn("p", S.parsed(F.col("raw_output")))
+    return d.select("doc_id", "p.decision", "p.outcome", "p.feedback")
 
 
 _STEMS = ["entir", "that"]
@@ -522,7 +517,7 @@ def completion_rows(spark, sf):
 
 @query("SELECT c_custkey, regexp_replace(regexp_replace(c_name, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') || '--en--prompt' AS run_name, coalesce(try_cast(regexp_extract(c_name, '([0-9]+)', 1) AS INT), 0) AS number FROM customer")
 def run_names(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.concat_ws("--", S.safe_name(F.col("c_name")), F.lit("en"), F.lit("prompt")).alias("run_name"), S.first_number(F.col("c_name")).alias("number"))
+    return table(spark, sf, "customer").select("c_custkey", F.concat_ws("--", S.safe_name(F.col("c_name")), F.lit("en"), F.lit("prompt")).alias("run_name"), S.first_number(F.col("c_name")).cast("int").alias("number"))
 
 
 # --- vectors ----------------------------------------------------------------------------------------------------------
