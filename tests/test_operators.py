@@ -107,3 +107,30 @@ def test_leace_removes_covariance(spark):
 def test_drop_reason_is_the_first(spark):
     d = M.drop_reasons(spark.range(4).selectExpr("id"), [("small", F.col("id") < 2), ("even", F.col("id") % 2 == 0)])
     assert [r.drop_reason for r in d.orderBy("id").collect()] == ["small", "small", "even", None]
+
+
+def test_balance_to_a_rate(spark):
+    d = spark.createDataFrame([(i, "hire" if i < 60 else "reject") for i in range(100)], "i int, d string")
+    got = {r["d"]: r["count"] for r in M.balanced(d, "d", "hire", F.col("i"), rate=0.25).groupBy("d").count().collect()}
+    assert got == {"hire": 13, "reject": 40}
+    none = M.balanced(d.withColumn("d", F.lit(None).cast("string")), "d", "hire", F.col("i"))
+    assert none.count() == 0
+
+
+def test_drawn_rank_is_the_global_order(spark):
+    d = spark.range(3000).select("id", S.portable_int("x", F.col("id") % 700).alias("h"))
+    got = {r.id: r.r for r in M.drawn_rank(d, F.col("h"), ["id"]).collect()}
+    order = sorted((r.h, r.id) for r in d.collect())
+    assert got == {i: n + 1 for n, (_, i) in enumerate(order)}
+
+
+def test_quantile_and_sums_before(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(np.concatenate([rng.normal(size=900), rng.lognormal(3, 2, 300)]), 1)
+    d = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for q in (0.0, 0.137, 0.5, 1.0):
+        got = R.quantile_at(d, "x", spark.createDataFrame([(q,)], "level double")).first().value
+        assert abs(got - np.quantile(x, q)) < 1e-9
+    sizes = d.groupBy("x").agg(F.count("*").alias("n"))
+    assert all(r.before == (x < r.x).sum() for r in R.summed_before(sizes, "x", "n").collect())
+    assert R.summed_before(sizes.limit(0), "x", "n").count() == 0

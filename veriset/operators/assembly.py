@@ -52,19 +52,43 @@ def unpaired(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.selectExpr(*key, "stack(2, chosen, true, rejected, false) as (completion, label)")
 
 
-def balanced(rows: DataFrame, column: str, positive: str, order: Column) -> DataFrame:
-    """As many rows of each of two classes as the scarcer has; one class alone stays as it is."""
-    sizes = rows.agg(F.count_if(F.col(column) == positive).alias("p"), F.count_if(F.col(column) != positive).alias("q"))
-    w = Window.partitionBy(F.col(column) == positive).orderBy(order)
-    d = rows.withColumn("r", F.row_number().over(w)).crossJoin(F.broadcast(sizes))
-    return d.filter((F.least("p", "q") == 0) | (F.col("r") <= F.least("p", "q"))).drop("r", "p", "q")
+def drawn_rank(rows: DataFrame, draw: Column, ties: list[str], by: Column | None = None) -> DataFrame:
+    """Rows with ``r``, the rank by a 32-bit draw and ``ties``, within each value of ``by`` if given.
+
+    The draw's highest byte deals the rows to 256 windows; only the sizes of these, one row each, are summed in one task.
+    """
+    d = rows.withColumns({"__h": draw.cast("long"), "__by": F.lit(0) if by is None else by}).withColumn("__bin", F.shiftright("__h", 24))
+    sizes = d.groupBy("__by", "__bin").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__by").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__by", "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    w = Window.partitionBy("__by", "__bin").orderBy("__h", *ties)
+    ranked = d.withColumn("r", F.row_number().over(w)).join(sizes, ["__by", "__bin"])
+    return ranked.withColumn("r", F.col("r") + F.col("__before")).drop("__h", "__by", "__bin", "__before")
+
+
+def balanced(rows: DataFrame, column: str, positive: str, draw: Column, ties: tuple[str, ...] = (), rate: float | None = None) -> DataFrame:
+    """Rows of two classes by a draw: as many of each as the scarcer has, or, with ``rate``, that share of positives and all the scarcer side allows.
+
+    One class alone stays as it is. Rows without a class are left out.
+    """
+    d = rows.filter(F.col(column).isNotNull())
+    sizes = d.agg(F.count_if(F.col(column) == positive).alias("p"), F.count_if(F.col(column) != positive).alias("q"))
+    if rate is None:
+        want = sizes.select("p", "q", F.least("p", "q").alias("__p"), F.least("p", "q").alias("__q"))
+    else:
+        totals = [F.floor(F.col(n) / F.lit(share)) for n, share in (("p", rate), ("q", 1 - rate)) if share > 0]
+        total = F.least(*[F.when(t > 0, t) for t in totals]) if len(totals) > 1 else totals[0]
+        want = sizes.select("p", "q", F.bround(total * F.lit(rate)).cast("long").alias("__p"), total.alias("__t")).select("p", "q", "__p", (F.col("__t") - F.col("__p")).alias("__q"))
+    is_positive = F.col(column) == positive
+    d = drawn_rank(d, draw, list(ties), is_positive).crossJoin(F.broadcast(want))
+    return d.filter((F.least("p", "q") == 0) | (F.col("r") <= F.when(is_positive, F.col("__p")).otherwise(F.col("__q")))).drop("r", "p", "q", "__p", "__q")
 
 
 def split_candidates(rows: DataFrame, key: str, fraction: float, seed: str) -> DataFrame:
     """Rows marked validation or train so that a candidate is on one side only; at least one candidate validates."""
     ids = rows.select(key).distinct()
-    ranked = ids.withColumn("r", F.row_number().over(Window.orderBy(S.portable_int(seed, F.col(key)), key)))
     n = ids.agg(F.greatest(F.lit(1), F.floor(F.lit(fraction) * F.count("*"))).alias("n"))
+    ranked = drawn_rank(ids, S.portable_int(seed, F.col(key)), [key])
     marked = ranked.crossJoin(F.broadcast(n)).select(key, F.when(F.col("r") <= F.col("n"), "validation").otherwise("train").alias("split"))
     return rows.join(marked, key)
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .audit import hired
@@ -95,14 +95,37 @@ def cluster_bootstrap(sets: DataFrame, cluster: str, flags: list[str], draws: in
     return per.groupBy(F.lit(1).alias("one")).applyInPandas(run, schema)
 
 
+def summed_before(rows: DataFrame, x: str, n: str, bins: int = 64) -> DataFrame:
+    """Rows of distinct ``x`` with ``before``, the sum of ``n`` over all rows with a smaller one.
+
+    Approximate quantiles deal the rows to bins of about equal size, each with a window of its own; only the bins' sums
+    meet in one task.
+    """
+    cuts = rows.agg(F.percentile_approx(x, [i / bins for i in range(1, bins)], 1000).alias("__cuts"))
+    d = rows.crossJoin(F.broadcast(cuts)).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
+    sums = d.groupBy("__bin").agg(F.sum(n).alias("__s"))
+    sums = sums.select("__bin", F.coalesce(F.sum("__s").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__bin").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    inside = d.withColumn("before", F.coalesce(F.sum(n).over(within), F.lit(0)))
+    return inside.join(F.broadcast(sums), "__bin").withColumn("before", F.col("before") + F.col("__base")).drop("__bin", "__base")
+
+
+def quantile_at(rows: DataFrame, column: str, level: DataFrame) -> DataFrame:
+    """``level`` (one row: level) with ``value``, the interpolated quantile of the column at that level, which may come from data."""
+    values = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    placed = summed_before(values, column, "n").crossJoin(F.broadcast(level.select(F.col("level")).crossJoin(values.agg(F.sum("n").alias("__t")))))
+    at = F.col("level") * (F.col("__t") - 1)
+    value = lambda r: F.max(F.when((F.col("before") <= r) & (r < F.col("before") + F.col("n")), F.col(column)))
+    d = placed.groupBy("level", "__t").agg(value(F.floor(at)).alias("__lo"), value(F.floor(at) + 1).alias("__hi"))
+    share = at - F.floor(at)
+    return d.select("level", (F.col("__lo") * (1 - share) + F.coalesce(F.col("__hi") * share, F.lit(0.0))).alias("value"))
+
+
 def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank test of two columns with the normal tail, ties at their mean rank, zeros left out. Ranks come from counts of distinct differences."""
     d = rows.select((F.col(a) - F.col(b)).alias("d")).filter("d <> 0")
     sizes = d.groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("up"))
-    from pyspark.sql import Window
-
-    w = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sizes.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = summed_before(sizes, "m", "n").withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum("n").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum(F.pow("n", 3) - F.col("n")).alias("ties"))
     n = F.col("n")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)

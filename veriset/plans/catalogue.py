@@ -281,12 +281,9 @@ def threshold_sweep(spark, sf):
  FROM {V10}, (SELECT hr, (SELECT quantile_cont(adapter, 0.5) FROM {V10}) AS m, t FROM (SELECT avg((base > 0)::INT) AS hr FROM {V10}), LATERAL (SELECT list_sort(list(adapter))[floor((1 - hr) * (count(*) - 1))::INT + 1] + ((1 - hr) * (count(*) - 1) - floor((1 - hr) * (count(*) - 1))) * (list_sort(list(adapter))[least(floor((1 - hr) * (count(*) - 1))::INT + 2, count(*))] - list_sort(list(adapter))[floor((1 - hr) * (count(*) - 1))::INT + 1]) AS t FROM {V10})) GROUP BY ALL) GROUP BY hr, t""")
 def matched_threshold(spark, sf):
     m = views.margins(spark, sf)
-    rate = m.agg(F.avg((F.col("base") > 0).cast("int")).alias("hr"))
-    # the quantile's level is data, so ranks are interpolated instead of calling percentile
-    n = m.agg(F.count("*").alias("n"))
-    ranked = m.select("adapter", (F.row_number().over(A.Window.orderBy("adapter")) - 1).alias("r")).crossJoin(F.broadcast(rate)).crossJoin(F.broadcast(n))
-    at = (1 - F.col("hr")) * (F.col("n") - 1)
-    t = ranked.groupBy("hr").agg((F.max(F.when(F.col("r") == F.floor(at), F.col("adapter") * (1 - (at - F.floor(at))))) + F.coalesce(F.max(F.when(F.col("r") == F.floor(at) + 1, F.col("adapter") * (at - F.floor(at)))), F.lit(0.0))).alias("t"))
+    # the quantile's level is data
+    level = m.agg((1 - F.avg((F.col("base") > 0).cast("int"))).alias("level"))
+    t = R.quantile_at(m, "adapter", level).select((1 - F.col("level")).alias("hr"), F.col("value").alias("t"))
     sets = m.crossJoin(F.broadcast(t)).groupBy("set_id", "hr", "t").agg((F.min(F.col("base") > 0) != F.max(F.col("base") > 0)).cast("int").alias("us"), (F.min(F.col("adapter") > F.col("t")) != F.max(F.col("adapter") > F.col("t"))).cast("int").alias("um"))
     return sets.groupBy("hr", "t").agg(A.rounded(F.avg("us")).alias("unstable_base"), A.rounded(F.avg("um")).alias("unstable_matched")).select(A.rounded("hr").alias("base_hire_rate"), A.rounded("t").alias("matched_threshold"), "unstable_base", "unstable_matched")
 
@@ -455,8 +452,8 @@ ORD = _prng("'7'", "pair_id::VARCHAR", "protected_attr", "condition")
 @query(f"""SELECT pair_id, protected_attr, condition, decision FROM (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY {ORD}, pair_id, protected_attr, condition) AS r, least(count(*) FILTER (decision = 'hire') OVER (), count(*) FILTER (decision <> 'hire') OVER ()) AS q FROM {v1()} WHERE outcome = 'decided') WHERE r <= q""")
 def balance(spark, sf):
     rows = views.lineitem_rows(spark, sf).filter(A.decided())
-    order = F.struct(S.portable_int("7", F.col("pair_id"), F.col("protected_attr"), F.col("condition")), "pair_id", "protected_attr", "condition")
-    return M.balanced(rows, "decision", V.HIRE, order).select("pair_id", "protected_attr", "condition", "decision")
+    draw = S.portable_int("7", F.col("pair_id"), F.col("protected_attr"), F.col("condition"))
+    return M.balanced(rows, "decision", V.HIRE, draw, ("pair_id", "protected_attr", "condition")).select("pair_id", "protected_attr", "condition", "decision")
 
 
 @query(f"""SELECT DISTINCT pair_id, CASE WHEN r <= greatest(1, floor(0.1 * n)) THEN 'validation' ELSE 'train' END AS split FROM (SELECT pair_id, row_number() OVER (ORDER BY {_prng("'11'", 'pair_id::VARCHAR')}, pair_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT pair_id FROM {v1()}))""")
