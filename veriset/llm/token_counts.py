@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokenise
-from .common import by_value, shared_dir, text_of
+from .common import by_value, cut, shared_dir, text_of
 
 by_value(__name__)
 
@@ -47,7 +47,10 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, cache: str | N
         missing = missing.join(known, "digest", "left_anti")
     missing = missing.groupBy("digest").agg(F.first("text").alias("text"))
     encode_missing(missing, path).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = _known(spark, cache, version).dropDuplicates(["digest"])
+    counts = _known(spark, cache, version)
+    if not fresh:  # runs at the same time may have appended a digest twice
+        counts = cut(spark, counts.dropDuplicates(["digest"]), "counts")
+    # counts come from a table, so that the join may split a digest that many documents share
     return d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
