@@ -263,6 +263,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Dat
     single = contents.select("rep.*")
     flat = scanned.select(*row, F.xxhash64("digest").alias("d"), F.arrays_zip("h", "p").alias("z")).select(*row, "d", F.inline("z"))
     again = flat.groupBy("h").agg(F.min(F.xxhash64("d", "p")).alias("lo"), F.max(F.xxhash64("d", "p")).alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("h", (F.col("n") >= HOT).alias("hot"))
+    # a table of its own: the join may then split an anchor that many documents share
+    again = cut(spark, again, "again")
     picked = flat.select(*row, "h", "p").join(again, "h").groupBy(*row).agg(F.collect_set(F.struct("h", "p", "hot")).alias("picked"))
     picked = cut(spark, picked.join(single, row), "picked")
 
