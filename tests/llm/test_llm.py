@@ -264,6 +264,41 @@ def test_pii_query(spark, docs):
         assert q.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and set(filter(None, want.split(","))) <= set(q.spans.split(","))
 
 
+def brute_matches(texts, items, size, slack):
+    """Exact windows, and places where the two rarest terms of a window stand within ``slack`` of their distance."""
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    docs, freq = [split(t) for t in texts], Counter(w for t in texts for w in split(t))
+    out = set()
+    for item, text in items:
+        w = split(text)
+        for window in {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else ():
+            rare = sorted(range(len(window)), key=lambda i: (freq[window[i]], i))[:2]
+            for d, words in enumerate(docs):
+                out |= {(d, item, "phrase", i, 0) for i in range(len(words) - len(window) + 1) if tuple(words[i : i + len(window)]) == window}
+                if len(rare) == 2:
+                    one, two = ([p - o for p, x in enumerate(words) if x == window[o]] for o in rare)
+                    out |= {(d, item, "proximity", a, b - a) for a in one for b in two if abs(a - b) <= slack}
+    return out
+
+
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_phrase_and_proximity_matches(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(40)] + [None, "", "Start w1, rare w2 w3; w1 w2 END rare2"]
+    texts += ["x w1 rare w2 w3 w1", texts[3], texts[3]]
+    items = [("a", "w1 rare w2 w3 w1"), ("b", texts[5]), ("c", "w4"), ("d", None), ("e", "w1 w2 w1 w2"), ("b2", texts[5])]
+    got = decontam.matches(spark, frame(spark, texts), spark.createDataFrame(items, "item_id string, text string"), 4, 3)
+    got = [tuple(r) for r in got.select("doc_id", "item_id", "kind", "start", "gap").collect()]
+    want = brute_matches(texts, items, 4, 3)
+    assert len(got) == len(set(got)) and set(got) == want and {k for _, _, k, _, _ in want} == {"phrase", "proximity"}
+
+
+def test_matches_of_empty_tables(spark, docs, bench):
+    assert decontam.matches(spark, docs.limit(0), bench).collect() == decontam.matches(spark, docs, bench.limit(0)).collect() == []
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------
 
 def test_lines_once(spark):

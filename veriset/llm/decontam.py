@@ -60,7 +60,13 @@ def rarest(spark: SparkSession, docs: DataFrame, wins: DataFrame, lists: int = 2
 def build_index(spark: SparkSession, docs: DataFrame, terms: DataFrame, n_terms: int, size: int = SIZE) -> DataFrame:
     """Postings (term, doc_id, pos, lead, near) of ``terms`` as a stored table; near has the words from ``lead`` before to ``size`` - 1 after."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of().alias("words"))
-    p = rows.select("doc_id", "words", F.posexplode("words").alias("pos", "term")).join(_small(terms, n_terms), "term")
+    if n_terms <= BROADCAST_ROWS:
+        p = rows.select("doc_id", "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(terms), "term")
+    else:  # texts aren't moved once a word: places are found first, and each text comes to its places once
+        rows = rows.withColumn("version", F.xxhash64("words"))
+        places = rows.select("doc_id", "version", F.posexplode("words").alias("pos", "term")).join(terms, "term")
+        places = places.groupBy("doc_id", "version").agg(F.collect_set(F.struct("pos", "term")).alias("places"))
+        p = rows.join(places, ["doc_id", "version"]).select("doc_id", "words", F.inline("places"))
     lead = F.least("pos", F.lit(size - 1))
     return cut(spark, p.select("term", "doc_id", "pos", lead.alias("lead"), F.slice("words", F.col("pos") - lead + 1, lead + size).alias("near")), "postings")
 
@@ -102,6 +108,19 @@ def lookup(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = S
     return {"index": index, "windows": wins, "rarest": looked_up, "matches": phrase_matches(index, wins, looked_up, n_windows), "n_windows": n_windows}
 
 
+def matches(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = SIZE, slack: int = 5) -> DataFrame:
+    """(doc_id, item_id, kind, start, gap): exact phrases (gap 0), and the proximity matches of :func:`proximity_matches`.
+
+    start is where the window begins, or would begin by its rarest term.
+    """
+    found = lookup(spark, docs, items, size)
+    phrases = found["matches"].select("doc_id", "item_id", F.lit("phrase").alias("kind"), F.col("start").cast("long").alias("start"), F.lit(0).cast("long").alias("gap"))
+    near = proximity_matches(found["index"], found["rarest"], found["n_windows"], slack)
+    near = near.join(_small(found["windows"].select("wid", "item_id").distinct(), found["n_windows"]), "wid")
+    near = near.select("doc_id", "item_id", F.lit("proximity").alias("kind"), F.col("pos").cast("long").alias("start"), F.col("gap").cast("long").alias("gap"))
+    return phrases.unionByName(near).distinct()
+
+
 def covered(matches: DataFrame) -> DataFrame:
     """(doc_id, n_hit, items): words covered by matches, and the sorted item ids."""
     spans = matches.select("doc_id", "start", (F.col("start") + F.col("n")).alias("stop")).distinct()
