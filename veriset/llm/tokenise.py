@@ -17,7 +17,7 @@ from .common import by_value, worker_cache
 by_value(__name__)
 
 #: Distinct words a worker remembers; beyond it the memory starts anew. About 200 bytes each.
-REMEMBER = 1_500_000
+REMEMBER = 500_000
 _ODD = re.compile(r" \s|\s ")
 _ASCII_WS = re.compile(r"[\x20\x09-\x0D]+")
 _END = ".,!?;:"
