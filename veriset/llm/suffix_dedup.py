@@ -20,6 +20,7 @@ long texts are hashed in chunks. Extra columns are ignored; empty tables give em
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import Counter
 
 import numpy as np
@@ -39,6 +40,8 @@ HOT = 2000
 SHARD = 6_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 NO_ID = -(2**63)
+#: A place, packed: id, t and first window.
+PLACE, PLACE_BYTES = "<qqq", 24
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,38 +211,40 @@ def repeated_windows(groups: list[tuple[bytes, int]]) -> list[np.ndarray]:
     return np.split(twice, np.cumsum(counts)[:-1])
 
 
-def _intervals(flags: np.ndarray, first: int) -> list[tuple[int, int]]:
+def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return [(first + int(a), first + int(b) + LENGTH - 1) for a, b in zip(edges[::2], edges[1::2])]
+    return [(int(a), int(b) + LENGTH - 1) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def shard(rows) -> list[tuple[int, int, int, int]]:
-    """(id, t, start, stop) of the bytes that repeat, from a shard's (key, id, t, first, n, bytes) rows."""
-    members: dict[tuple[int, bytes, int], list[tuple[int, int, int]]] = {}
-    for key, doc, tag, first, n, raw in rows:
-        members.setdefault((key, raw, n), []).append((doc, tag, first))
+def shard(rows):
+    """Arrays (id, t, start, stop) of the bytes that repeat, from a shard's (key, n, bytes, places) rows, a group of places at a time.
+
+    places are packed (id, t, first) of rows with these bytes under the key, 24 bytes each, and stay so.
+    """
+    members: dict[tuple[int, int, bytes], bytearray] = {}
+    for key, n, raw, places in rows:
+        members.setdefault((key, n, raw), bytearray()).extend(places)
     # bytes that are the only ones under their key need no array: they repeat if they have several members
     kinds = Counter(key for key, _, _ in members)
     groups = [g for g in members if kinds[g[0]] > 1]
-    out: list[tuple[int, int, int, int]] = []
-    for g, places in members.items():
-        if kinds[g[0]] == 1 and len(places) > 1:
-            out += [(doc, tag, first, first + g[2] + LENGTH - 1) for doc, tag, first in places]
-    flags: list = [None] * len(groups)
+    several = {g for g, places in members.items() if len(places) > PLACE_BYTES}
+
+    def told(g, spans):
+        at = np.frombuffer(members[g], np.int64).reshape(-1, 3)
+        return [(at[:, 0], at[:, 1], at[:, 2] + a, at[:, 2] + b) for a, b in spans]
+
+    for g in several:  # all of it, whatever else is there
+        yield from told(g, [(0, g[1] + LENGTH - 1)])
     at = 0
     while at < len(groups):  # the keys of a shard, in runs of about SHARD bytes that don't split a key
         stop, size = at, 0
         while stop < len(groups) and (size < SHARD or groups[stop][0] == groups[stop - 1][0]):
-            size += len(groups[stop][1])
+            size += len(groups[stop][2])
             stop += 1
-        flags[at:stop] = repeated_windows([(g[1], g[2]) for g in groups[at:stop]])
+        for g, f in zip(groups[at:stop], repeated_windows([(g[2], g[1]) for g in groups[at:stop]])):
+            if g not in several and f.any():
+                yield from told(g, _intervals(f))
         at = stop
-    for g, f in zip(groups, flags):
-        places = members[g]
-        f = np.ones(g[2], bool) if len(places) > 1 else f
-        for doc, tag, first in places if f.any() else ():
-            out += [(doc, tag, a, b) for a, b in _intervals(f, first)]
-    return out
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -253,6 +258,10 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return list(zip(begins.tolist(), ends.tolist()))
 
 
+def _batch(part: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*part)], names=["id", "t", "a", "b"])
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, t, spans) of the repeated bytes of documents without copies, and (id, t) of those with copies, for (id, t, text)."""
     row = ["id", "t"]
@@ -270,21 +279,31 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Dat
 
     def emit(batches):
         for b in batches:
-            rows = [(key, doc, tag, first, n, raw) for doc, tag, t, found in zip(*(b.column(c).to_pylist() for c in ("id", "t", "text", "picked"))) for key, first, n, raw in windows_of(t.encode("utf-8", "surrogatepass"), [(x["h"], x["p"], x["hot"]) for x in found])]
+            # equal bytes of a batch travel once, with all their places
+            found: dict[tuple[int, int, bytes], bytearray] = {}
+            for doc, tag, t, its in zip(*(b.column(c).to_pylist() for c in ("id", "t", "text", "picked"))):
+                for key, first, n, raw in windows_of(t.encode("utf-8", "surrogatepass"), [(x["h"], x["p"], x["hot"]) for x in its]):
+                    found.setdefault((key, n, raw), bytearray()).extend(struct.pack(PLACE, doc, tag, first))
+            rows = [(*g, bytes(places)) for g, places in found.items()]
             for i in range(0, len(rows), 20_000):
                 part = list(zip(*rows[i : i + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "id", "t", "first", "n", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["key", "n", "raw", "places"])
 
     def solve(batches):
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        found = shard(rows)
-        for i in range(0, len(found), 100_000):
-            part = list(zip(*found[i : i + 100_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], names=["id", "t", "a", "b"])
+        part, size = [], 0
+        for arrays in shard(rows):
+            part.append(arrays)
+            size += len(arrays[0])
+            if size >= 100_000:
+                yield _batch(part)
+                part, size = [], 0
+        if part:
+            yield _batch(part)
 
     total = picked.agg(F.sum(F.size("picked"))).first()[0] or 0
     parts = max(1, -(-total * (LENGTH + SIDE // 2) // SHARD))
-    rows = docs.join(picked, row).mapInArrow(emit, "key long, id long, t long, first long, n int, raw binary")
+    rows = docs.join(picked, row).mapInArrow(emit, "key long, n int, raw binary, places binary")
     spans = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(solve, "id long, t long, a long, b long")
     return spans.groupBy(*row).agg(F.collect_list(F.struct("a", "b")).alias("spans")), copied
 
