@@ -16,8 +16,8 @@ from .common import by_value, worker_cache
 
 by_value(__name__)
 
-#: Distinct words a worker remembers; beyond it the memory starts anew. About 200 bytes each.
-REMEMBER = 500_000
+#: Distinct words a worker remembers, with their ids and with their counts; beyond it the memory starts anew. About 200 bytes each.
+REMEMBER, REMEMBER_COUNTS = 1_500_000, 500_000
 _ODD = re.compile(r" \s|\s ")
 _ASCII_WS = re.compile(r"[\x20\x09-\x0D]+")
 _END = ".,!?;:"
@@ -68,10 +68,10 @@ def _core(word: str) -> str:
     return core if core and core[-1] < "ɐ" and core[-1].isalpha() and len(core[-1].lower()) == 1 else word
 
 
-def _memory(name: str) -> dict:
+def _memory(name: str, most: int) -> dict:
     """A worker's memory of encoded words, begun anew when it is full."""
     cache = worker_cache(name)
-    if len(cache) > REMEMBER:
+    if len(cache) > most:
         cache.clear()
     return cache
 
@@ -108,7 +108,7 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
         out.update(zip(rest, map(len, found)))
         return [out[p] for p in parts]
 
-    cache = _memory("counts:" + path)
+    cache = _memory("counts:" + path, REMEMBER_COUNTS)
     out = []
     for text in texts:
         if not text:
@@ -152,7 +152,7 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
         out.update(zip(rest, (written(e.ids) for e in found)))
         return [out[p] for p in parts]
 
-    cache = _memory("ids:" + path)
+    cache = _memory("ids:" + path, REMEMBER)
     out = []
     for text in texts:
         words = _ASCII_WS.split(text)
