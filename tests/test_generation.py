@@ -134,3 +134,29 @@ def test_loose_words_and_drift(spark):
     assert not one(spark, S.mapped_loosely(F.lit(None).cast("string"), F.lit("refused")))
     assert one(spark, S.drifted(F.lit("досвід роботи чудовий і довгий"), F.lit("en")))
     assert not one(spark, S.drifted(F.lit("досвід"), F.lit("en")))
+
+
+@pytest.mark.parametrize("measured", [True, False])
+def test_ranking_keeps_baselines_of_equal_measures_apart(spark, measured):
+    rows = [(1, "m", "sft", None, 0.5, 0.5), (2, "m", "none", None, 0.7, 0.75), (3, "m", "none", 0, 0.7, 0.75), (4, "m", "none", 9, 0.7, 0.75), (5, "m", "dpo", None, None, 0.75), (6, "n", "dpo", None, 0.1, 0.1)]
+    runs = spark.createDataFrame(rows, "run int, model string, family string, limit_pairs int, ar_mad double, utility double")
+    got = R.rank_mitigations(runs, ["model"], measured=measured).select("run", "baseline", "mad_reduction", "utility_delta", "damaged").collect()
+    want = [(1, 2, 0.2, -0.25, True), (1, 3, 0.2, -0.25, True)] + [(5, 2, None, 0.0, False), (5, 3, None, 0.0, False)] * (not measured)
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == want
+
+
+def test_mitigation_ranking_at_equal_baselines(spark, tmp_path):
+    """Suppliers of equal balances, or none: one row for each baseline, as the SQL has it."""
+    import duckdb
+
+    from veriset.plans import generation as P
+    from veriset.plans.catalogue import ORACLES
+
+    rows = [(i * 50 + k, "s", 1, None if i == 3 else 100.0) for i in range(6) for k in (1, 2, 4, 8)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    names = "run, baseline, mad_reduction, utility_delta, damaged"
+    want = con.execute(f"SELECT {names} FROM ({ORACLES['mitigation_ranking']})").fetchall()
+    got = P.mitigation_ranking(spark, str(tmp_path)).select(*names.split(", ")).collect()
+    assert len(want) > 20 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))

@@ -98,10 +98,15 @@ def hire_share(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.round(100 * F.avg(F.coalesce((F.col("decision") == V.HIRE).cast("int"), F.lit(0))), 6).alias("hire_pct"))
 
 
-def rank_mitigations(runs: DataFrame, key: list[str]) -> DataFrame:
-    """Mitigated runs (family, ar_mad, utility) against the whole baseline of the same key: what was won, and whether utility was lost."""
-    b = runs.filter("family = 'none' and coalesce(limit_pairs, 0) = 0").select(*key, F.col("ar_mad").alias("baseline_mad"), F.col("utility").alias("baseline_utility"))
-    d = runs.filter("family <> 'none'").join(b, key).filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() & ~F.isnan(c) for c in ("ar_mad", "utility", "baseline_mad", "baseline_utility")]))
+def rank_mitigations(runs: DataFrame, key: list[str], name: str = "run", measured: bool = True) -> DataFrame:
+    """Mitigated runs (``name``, family, ar_mad, utility) against each whole baseline of the same key: what was won, and whether utility was lost.
+
+    ``baseline`` is the baseline's name, so baselines of equal measures stay apart. ``measured`` leaves out pairs with a null or NaN measure.
+    """
+    b = runs.filter("family = 'none' and coalesce(limit_pairs, 0) = 0").select(*key, F.col(name).alias("baseline"), F.col("ar_mad").alias("baseline_mad"), F.col("utility").alias("baseline_utility"))
+    d = runs.filter("family <> 'none'").join(b, key)
+    if measured:
+        d = d.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() & ~F.isnan(c) for c in ("ar_mad", "utility", "baseline_mad", "baseline_utility")]))
     d = d.withColumns({"mad_reduction": F.round(F.expr("baseline_mad - ar_mad"), 9), "utility_delta": F.round(F.expr("utility - baseline_utility"), 9)})
     return d.withColumn("damaged", F.col("utility_delta") < -UTILITY_LOSS)
 
