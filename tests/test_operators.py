@@ -134,3 +134,51 @@ def test_quantile_and_sums_before(spark):
     sizes = d.groupBy("x").agg(F.count("*").alias("n"))
     assert all(r.before == (x < r.x).sum() for r in R.summed_before(sizes, "x", "n").collect())
     assert R.summed_before(sizes.limit(0), "x", "n").count() == 0
+
+
+def brute_pool(candidates, jobs, n, seed):
+    """match_pool row by row: the draw is the start of an MD5, a null id leaves its part out."""
+    import hashlib
+
+    def draw(*parts):
+        return int(hashlib.md5("|".join(str(p) for p in (seed, *parts) if p is not None).encode()).hexdigest()[:8], 16)
+
+    found = {}
+    for i, k, y in candidates:
+        fits = [j for j, kk, r in jobs if k is not None and k == kk and y is not None and r is not None and y - 3 <= r <= y + 0.5]
+        found.setdefault(i, []).extend((draw(i, j), j is not None, j or "", j, k) for j in fits)
+    return sorted((repr(i), repr(x[3]), x[4], r + 1) for i, rows in found.items() for r, x in enumerate(sorted(rows, key=lambda x: x[:3])[:n]))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_match_pool_by_blocks(spark, kind):
+    """Draws of whole blocks against the pair by pair definition; no row of text is made for a pair."""
+    rng = np.random.default_rng(4)
+    key = int if kind == "long" else lambda i: f"{'é' * int(i % 40)}{i}"
+    number = lambda: None if rng.random() < 0.02 else float(rng.integers(0, 48) / 4)
+    word = lambda: [None, "a", "b", "c"][int(rng.choice(4, p=[0.02, 0.6, 0.3, 0.08]))]
+    c = [(key(10 ** int(rng.integers(0, 12)) + i), word(), number()) for i in range(150)] + [(None, "a", 5.0)]
+    j = [(key(10 ** int(rng.integers(0, 12)) + i), word(), number()) for i in range(400)] + [(None, "a", 5.0), (key(1), "c", 5.0)]
+    left = spark.createDataFrame(c, f"candidate_id {kind}, keyword string, years double")
+    right = spark.createDataFrame(j, f"job_id {kind}, keyword string, required double")
+    got = M.match_pool(left, right, 3, "42")
+    assert "md5(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((repr(r[0]), repr(r[1]), r[2], r[3]) for r in got.collect()) == brute_pool(c, j, 3, "42")
+    assert M.match_pool(left.limit(0), right, 3, "42").count() == 0
+
+
+def test_least_draws_over_tiles(spark, monkeypatch):
+    """Small tiles find the same rows; equal draws at the edge all go on."""
+    import pyarrow as pa
+
+    from veriset.functions import draws as D
+
+    left = pa.StructArray.from_arrays([pa.array([f"7|{i}" for i in range(30)]), pa.array([0.0] * 30), pa.array([9.0] * 30)], ["text", "low", "high"])
+    right = pa.StructArray.from_arrays([pa.array([f"|{i % 40}" for i in range(90)]), pa.array([float(i % 12) for i in range(90)])], ["text", "value"])
+    whole = list(zip(*D.least_draws(left, right, 2)))
+    monkeypatch.setattr(D, "TILE", 16)
+    some = list(zip(*D.least_draws(left, right, 2)))
+    assert set(whole) <= set(some) and len(some) < 30 * 90
+    for i in range(30):
+        fits = sorted((D.draws([b"7|%d" % i], [b"|%d" % (k % 40)])[0, 0], k) for k in range(90) if k % 12 <= 9)
+        assert sorted((h, b) for a, b, h in whole if a == i) == [x for x in fits if x[0] <= fits[1][0]]

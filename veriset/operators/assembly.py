@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws as D
 from ..functions import scalar as S
 
 
@@ -33,11 +34,37 @@ def leaked(rows: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
     return rows.join(held_out.select(key).distinct(), key, "left_semi")
 
 
+def _blocks(rows: DataFrame, by: str, value: Column, size: int, low: Column, high: Column, block: str, of: Column) -> DataFrame:
+    """Rows packed into (``by``, ``block``, least ``low``, greatest ``high``, array of ``of``): about ``size`` rows of values within one of each other."""
+    d = rows.withColumns({"__cell": F.floor(value), "__of": of, "__low": low, "__high": high})
+    sizes = d.groupBy(by, "__cell").agg(F.count("*").alias("__n"))
+    part = F.pmod(F.xxhash64("__of"), F.ceil(F.col("__n") / size))
+    packed = d.join(sizes, [by, "__cell"]).groupBy(by, "__cell", part.alias("__part"))
+    packed = packed.agg(F.min("__low").alias(f"{block}_low"), F.max("__high").alias(f"{block}_high"), F.collect_list("__of").alias(f"{block}_rows"))
+    return packed.select(by, F.struct("__cell", "__part").alias(block), f"{block}_low", f"{block}_high", f"{block}_rows")
+
+
 def match_pool(candidates: DataFrame, jobs: DataFrame, per_candidate: int, seed: str, below: float = 3, above: float = 0.5) -> DataFrame:
-    """Jobs of a candidate's keyword whose years lie in its band, ``per_candidate`` drawn for each; null years match nothing."""
-    d = candidates.join(jobs, "keyword").filter(F.col("required").between(F.col("years") - below, F.col("years") + above))
-    w = Window.partitionBy("candidate_id").orderBy(S.portable_int(seed, F.col("candidate_id"), F.col("job_id")), "job_id")
-    return d.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_candidate).select("candidate_id", "job_id", "keyword", F.col("r").alias("rank"))
+    """Jobs of a candidate's keyword whose years lie in its band, ``per_candidate`` drawn for each; null years match nothing.
+
+    The draw is by pair, so every pair is drawn: blocks of candidates meet blocks of jobs, and each candidate's least draws of a block go on.
+    """
+    years, required = F.col("years").cast("double"), F.col("required").cast("double")
+    # the parts of the drawn text (scalar.portable_int), where a missing id leaves its bar out
+    head = F.concat_ws("|", F.lit(seed), F.col("candidate_id").cast("string"))
+    tail = F.coalesce(F.concat(F.lit("|"), F.col("job_id").cast("string")), F.lit(""))
+    c = F.struct(F.col("candidate_id").alias("id"), head.alias("text"), (years - below).alias("low"), (years + above).alias("high"))
+    j = F.struct(F.col("job_id").alias("id"), tail.alias("text"), required.alias("value"))
+    left = _blocks(candidates.filter(F.col("years").isNotNull()), "keyword", years, 1024, years - below, years + above, "c", c)
+    right = _blocks(jobs.filter(F.col("required").isNotNull()), "keyword", required, 8192, required, required, "j", j)
+    pairs = left.select("keyword", "c", "c_low", "c_high").join(right.select("keyword", "j", "j_low", "j_high"), "keyword").filter("j_high >= c_low and j_low <= c_high")
+    pairs = pairs.select("keyword", "c", "j").join(left.select("keyword", "c", "c_rows"), ["keyword", "c"]).join(right.select("keyword", "j", "j_rows"), ["keyword", "j"])
+    spark = candidates.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    kinds = {x: d.schema[x].dataType.simpleString() for d, x in ((candidates, "candidate_id"), (jobs, "job_id"), (candidates, "keyword"))}
+    found = pairs.repartition(tasks, "keyword", "c", "j").select("c_rows", "j_rows", "keyword").mapInArrow(D.least_of_blocks(per_candidate), f"a {kinds['candidate_id']}, b {kinds['job_id']}, by {kinds['keyword']}, h long")
+    w = Window.partitionBy("a").orderBy("h", "b")
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_candidate).select(F.col("a").alias("candidate_id"), F.col("b").alias("job_id"), F.col("by").alias("keyword"), F.col("r").alias("rank"))
 
 
 def triples(kept: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
