@@ -141,6 +141,27 @@ def test_wide_links(spark, monkeypatch, crowd):
     assert len(set(have)) <= 1.05 * len(set(want))
 
 
+@pytest.mark.parametrize("crowd, block", [(4, 512), (1, 7)])
+def test_wide_links_of_crowded_keys_are_whole(spark, monkeypatch, crowd, block):
+    """Chains, stars and strangers under few keys: every link of a crowded key counts, whatever the block."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    lanes, width, radius, n_keys = 2, 4, 12, 3
+    words = lambda f: [x - (1 << 64) if x >> 63 else x for x in (f & (1 << 64) - 1, f >> 64)]
+    rng = random.Random(block)
+    fps = [rng.getrandbits(128) for _ in range(60)]
+    for _ in range(140):
+        fps.append(rng.choice(fps[-30:]) ^ sum(1 << b for b in rng.sample(range(128), rng.randint(6, 16))))
+    fps = list(dict.fromkeys(fps))
+    rng.shuffle(fps)
+    parts = simhash.link_wide(spark, spark.createDataFrame([(i, words(f)) for i, f in enumerate(fps)], "rep long, fp array<bigint>"), lanes, radius, width, n_keys)
+    got = {r.node: r.component for r in parts.collect()}
+    keys = simhash.block_keys(np.array([words(f) for f in fps], np.int64).view(np.uint64), width, n_keys)
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= radius and (keys[i] == keys[j]).any()]
+    want = components(len(fps), links)
+    assert [got.get(i, i) for i in range(len(fps))] == want and len(set(want)) > 1
+
+
 def test_block_plan():
     share = simhash.differing(0.8)
     for n in (1, 1000, 10**6, 10**10):

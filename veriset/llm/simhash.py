@@ -11,7 +11,8 @@ Documents with equal fingerprints are merged before any pair is made. A block ke
   fingerprints differ in at most 2 bits exactly when some value lies within 1 bit of both, so each
   member is sent to the 65 values within 1 bit and every value links its members to the least one;
 * for wide fingerprints (``link_wide``) the members of such a key are compared with its least one; parts of the key that are
-  still apart are then compared by one member each, until no more are linked.
+  still apart are then compared by one member each, until no more are linked. Of the parts that stay apart even so, all members outside
+  the key's largest part are compared with all members of the others, in blocks, so that no link of the key is lost.
 
 Rows without a doc_id take part by their fingerprints only: they are in the component of those with an equal one, if any, else
 in none (null). Null texts and texts without words get fingerprint zero and link like any other. Ties (exactly half of
@@ -38,6 +39,8 @@ by_value(__name__)
 
 #: Distinct fingerprints under one block key up to which its pairs are enumerated, for 64 bits and for wide fingerprints.
 HOT, CROWD = 64, 4
+#: Members of a block that are compared with those of another at once.
+BLOCK = 512
 #: Odd multipliers that derive further 64-bit hashes of a shingle from its first one.
 MIX = 0x9E3779B97F4A7C15
 
@@ -212,13 +215,60 @@ def _merged(spark: SparkSession, part: DataFrame, more: DataFrame) -> DataFrame:
     return cut(spark, part.unionByName(new).join(upper, "component", "left").select("node", F.coalesce("higher", "component").alias("component")), "parts")
 
 
+def _close(x: np.ndarray, y: np.ndarray, part_x: np.ndarray, part_y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``y`` (n x lanes) of different parts that differ in ``radius`` bits at most, one pair for each two parts."""
+    half = x.shape[1] // 2
+    d = np.zeros((len(x), len(y)), np.uint16)
+    for lane in range(half):
+        d += np.bitwise_count(x[:, lane, None] ^ y[None, :, lane])
+    i, j = np.nonzero((d <= radius) & (part_x[:, None] != part_y))  # beyond the radius in half of the bits is beyond it in all
+    near = [np.bitwise_count(x[i[k : k + 8192], half:] ^ y[j[k : k + 8192], half:]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 8192)]
+    fits = d[i, j] + np.concatenate(near) <= radius if near else np.zeros(0, bool)
+    i, j = i[fits], j[fits]
+    one = np.unique(np.stack([part_x[i], part_y[j]], axis=1), axis=0, return_index=True)[1]
+    return i[one], j[one]
+
+
+def _open(fps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of (key, rep, part) those of keys with several parts, with fp, the key's largest part ``top``, its members ``n`` and the ``rest`` outside ``top``."""
+    sizes = rows.groupBy("key", "part").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts"))
+    sizes = sizes.filter("parts > 1").select("key", "n", F.col("top.part").alias("top"), F.expr("n - top.m").alias("rest"))
+    return rows.join(sizes, "key").join(fps.select("rep", "fp"), "rep")
+
+
+def _parts_apart(spark: SparkSession, rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between the parts of each key of ``rows`` (:func:`_open`): every pair of members of different parts is compared.
+
+    One of the two is outside the key's largest part, so the pairs grow with the members where one part has nearly all of them.
+    Members go in blocks, and each two blocks of a key are a row of their own, so a key's pairs are spread over tasks.
+    """
+
+    def blocks(some: DataFrame, size: str, name: str) -> DataFrame:
+        deal = F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / BLOCK)).alias(name)
+        return some.groupBy("key", deal).agg(F.collect_list(F.struct("rep", "part", "fp")).alias(f"of_{name}"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = batch.column(0)[k].values, batch.column(1)[k].values
+                (rep_x, part_x, fp_x), (rep_y, part_y, fp_y) = ((*(c.field(f).to_numpy(zero_copy_only=False) for f in ("rep", "part")), c.field("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(c), -1)) for c in (x, y))
+                i, j = _close(fp_x, fp_y, part_x, part_y, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(rep_x[i]), pa.array(rep_y[j])], names=["a", "b"])
+
+    left, right = blocks(rows.filter("part <> top"), "rest", "i"), blocks(rows, "n", "j")
+    counts = rows.select("key", F.ceil(F.col("rest") / BLOCK).alias("i"), F.ceil(F.col("n") / BLOCK).alias("j")).distinct()
+    pairs = counts.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i") - 1)).alias("i"), "j").select("key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("j") - 1)).alias("j"))
+    return cut(spark, pairs.join(left, ["key", "i"]).join(right, ["key", "j"]).select("of_i", "of_j").mapInArrow(run, "a long, b long").distinct(), "links")
+
+
 def link_wide(spark: SparkSession, fps: DataFrame, lanes: int, radius: int, width: int, keys: int) -> DataFrame:
     """(node, component) of (rep, fp array) that links connect: wide fingerprints that share a block and differ in ``radius`` bits at most.
 
     With fewer differing bits than blocks of one set the pigeonhole finds every pair; beyond that a pair is found with a
     probability that falls with the share of differing bits (:func:`block_plan`; the README has the recall). Members of a crowded
     key are compared with its least one. Then the parts of the key that stay apart are compared with its first part, each by
-    one of its members, which hashing picks anew for each key, until a round links nothing more.
+    one of its members, which hashing picks anew for each key, until a round links nothing more. At last all members of the
+    parts that are still apart are compared (:func:`_parts_apart`).
     """
     rows = _keyed(fps, width, keys)
     many = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo")).filter("n > 1")
@@ -228,16 +278,20 @@ def link_wide(spark: SparkSession, fps: DataFrame, lanes: int, radius: int, widt
     pairs = pairs.unionByName(hot.filter("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b"))).distinct()
     part = connected_components(spark, _within(spark, fps, pairs, lanes, radius))
     while True:
-        of = hot.join(part, hot.rep == part.node, "left").groupBy("key", F.coalesce("component", "rep").alias("part"))
-        of = cut(spark, of.agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("rep")), "open")
+        members = hot.join(part, hot.rep == part.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        of = cut(spark, members.groupBy("key", "part").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("rep")), "open")
         first = of.groupBy("key").agg(F.min_by("rep", "part").alias("lo"), F.count("*").alias("n")).filter("n > 1").select("key", "lo")
         more = of.join(first, "key").filter("rep <> lo").select(*_ordered("rep", "lo")).distinct()
         more = _within(spark, fps, more, lanes, radius)
         release(spark, of)
         if more.isEmpty():
-            release(spark, rows)
-            return part
+            break
         part = _merged(spark, part, more)
+    apart = cut(spark, _open(fps, members), "apart")
+    release(spark, rows)
+    more = _parts_apart(spark, apart, radius)
+    release(spark, apart)
+    return part if more.isEmpty() else _merged(spark, part, more)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 3, lanes: int = 1, radius: int = 2, blocks: int = 5, share: float = 0.0) -> DataFrame:
