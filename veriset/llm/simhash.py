@@ -277,8 +277,12 @@ def link_wide(spark: SparkSession, fps: DataFrame, lanes: int, radius: int, widt
     pairs = cold.select("key", F.col("rep").alias("a")).join(cold.select("key", F.col("rep").alias("b")), "key").filter("a < b").select("a", "b")
     pairs = pairs.unionByName(hot.filter("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b"))).distinct()
     part = connected_components(spark, _within(spark, fps, pairs, lanes, radius))
+    members = rows
     while True:
-        members = hot.join(part, hot.rep == part.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        last = members
+        some = last.filter(F.col("n") > CROWD).select("key", "rep", "n")
+        members = cut(spark, some.join(part, some.rep == part.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("part")), "members")
+        release(spark, last)
         of = cut(spark, members.groupBy("key", "part").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("rep")), "open")
         first = of.groupBy("key").agg(F.min_by("rep", "part").alias("lo"), F.count("*").alias("n")).filter("n > 1").select("key", "lo")
         more = of.join(first, "key").filter("rep <> lo").select(*_ordered("rep", "lo")).distinct()
@@ -287,8 +291,8 @@ def link_wide(spark: SparkSession, fps: DataFrame, lanes: int, radius: int, widt
         if more.isEmpty():
             break
         part = _merged(spark, part, more)
-    apart = cut(spark, _open(fps, members), "apart")
-    release(spark, rows)
+    apart = cut(spark, _open(fps, members.select("key", "rep", "part")), "apart")
+    release(spark, members)
     more = _parts_apart(spark, apart, radius)
     release(spark, apart)
     return part if more.isEmpty() else _merged(spark, part, more)
