@@ -619,6 +619,54 @@ def test_packing_edge(spark, edge):
     assert packing.pack(spark, packing.pieces(edge.limit(0), path)).collect() == []
 
 
+WORKER = """
+import pickle, re, sys
+import pyarrow as pa
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+
+def texts(n):
+    for k in range(0, n, 1000):
+        words = [str(i).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(20 * k, 20 * k + 20_000)]
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(words[i : i + 20]) for i in range(0, 20_000, 20)])], names=["text"])
+
+cache, run = pickle.load(sys.stdin.buffer)
+n = sum(b.num_rows for b in run(texts(1000)))
+before = held()
+cache("ids:some").update((f"word {i}", b"1234") for i in range(500_000))
+kept = len(cache("ids:some"))
+n = sum(b.num_rows for b in run(texts(15_000)))
+print(n, kept, len(cache("ids:some")), before, held())
+"""
+
+
+def test_toxicity_leaves_no_memory_in_workers(spark):
+    """An idle worker counts to its executor: it keeps neither what another step remembered nor what this one counted."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from veriset.llm.common import worker_cache
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        groupBy = agg = select
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+    run = toxicity.word_counts(Docs()).run
+    out = subprocess.run([sys.executable, "-c", WORKER], input=cloudpickle.dumps((worker_cache, run)), capture_output=True, check=True, cwd="/").stdout
+    n, kept, left, before, after = map(int, out.split())
+    assert n > 200_000 and kept == 500_000
+    assert left == 0 and after < before + 40
+
+
 def test_pipeline_stages(spark, docs, edge, tmp_path):
     import shutil
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import pickle
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -77,6 +79,31 @@ def clean_up(spark: SparkSession) -> None:
     _delete(spark, work_dir(spark))
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a mapInArrow, in a worker that drops the caches of other steps before and gives free memory back after.
+
+    Spark keeps idle workers for a minute and uses them again; what they hold counts to their executor while it does other work.
+    """
+
+    def alone(batches):
+        sys.modules.pop("_veriset_worker_cache", None)
+        _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return alone
+
+
+def _give_back() -> None:
+    """Return the freed memory of this process to the system, which the C library keeps for itself otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # without glibc there is no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def from_one_task(rows: DataFrame, fit: Callable[[list[dict]], dict | None]) -> dict | None:
     """What ``fit`` makes of all ``rows``, computed in one task, so that the driver never holds the rows.
 
@@ -88,7 +115,7 @@ def from_one_task(rows: DataFrame, fit: Callable[[list[dict]], dict | None]) ->
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found))], pa.binary())], names=["model"])
 
-    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    got = rows.repartition(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(bytes(got[0][0])) if got else None
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_value, cut, from_one_task, release, text_of
+from .common import by_value, cut, from_one_task, lean, release, text_of
 from .samples import labelled
 
 by_value(__name__)
@@ -237,7 +237,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
-    return docs.select(text_of().alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_of().alias("text")).mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def shared_grams(words: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def shared_grams(words: DataFrame) -> DataFrame:
                 total.update(dict(zip(grams.tolist(), n.tolist())))
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["gram", "n"])
 
-    return words.select("word").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return words.select("word").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def fit_texts(texts: list[str], y: list[int], share: float, grams: dict[int, int]) -> dict | None:
@@ -327,7 +327,7 @@ def score(docs: DataFrame, state: dict | None) -> DataFrame:
             s = model.probabilities(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    return d.mapInArrow(run, "doc_id long, score double")
+    return d.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column, limit: float = 0.5) -> DataFrame:
@@ -343,4 +343,4 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable:
             keep = model.probabilities([t or "" for t in b.column("text").to_pylist()]) < limit
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
