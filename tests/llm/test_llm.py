@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veriset.llm import decontam, graph, line_dedup, packing, pii, quality_classifier, quality_rules, queries, simhash, suffix_dedup, token_counts, tokenise, toxicity
-from veriset.llm.common import cut
+from veriset.llm.common import SHUFFLES_GO, cut
 
 DATA = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor " * 20000
@@ -687,3 +688,22 @@ def test_pipeline_stages(spark, docs, edge, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, edge.select(docs.columns), f"{tmp_path}/in").collect()
         stage(spark, docs.limit(0), f"{tmp_path}/in").collect()
+
+
+def _shuffle_files(spark) -> set[str]:
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    before, setting = _shuffle_files(spark), spark.conf.get(SHUFFLES_GO, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    found = cut(spark, df, "no-shuffle")
+    for _ in range(50):  # they are deleted in the background
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get(SHUFFLES_GO, None) == setting
+    want = {(k, len(range(k, 1000, 7))) for k in range(7)}
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in df.collect()} == {tuple(r) for r in cut(spark, df).collect()} == want

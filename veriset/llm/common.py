@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a Java or Python character class.
 WS = r"[\x20\x09-\x0D]+"
+#: Session setting by which a query's shuffle files are deleted as soon as it is over.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def by_value(module_name: str) -> None:
@@ -50,9 +52,17 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there.
+
+    The shuffle files of the write go with its end: no other query reads them, and Spark's own collection keeps those of the last query.
+    """
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.veriset_path = path
     return found
