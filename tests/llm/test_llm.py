@@ -390,6 +390,27 @@ def test_query_keeps_a_cache(spark, tmp_path, monkeypatch):
         spark.conf.unset(queries.TOKEN_CACHE)
 
 
+@pytest.mark.parametrize("kept", [False, True])
+def test_counts_go_to_few_files(spark, tmp_path, monkeypatch, kept):
+    path, texts = queries.tokenizer_file("byte_bpe_50k.json"), [f"w{i % 150} x" if i % 3 else "a b" for i in range(300)]
+    shared, cache = f"file://{tmp_path}", f"file://{tmp_path}/kept" if kept else None
+    monkeypatch.setattr(token_counts, "shared_dir", lambda s: shared)
+    monkeypatch.setattr("veriset.llm.common.shared_dir", lambda s: shared)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        token_counts.count_tokens(spark, frame(spark, texts), path, cache).write.parquet(f"{shared}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = Counter(f.parent for f in tmp_path.rglob("part-*.parquet"))
+    assert len(files) == 2 + kept and max(files.values()) <= spark.sparkContext.defaultParallelism
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in spark.read.parquet(f"{shared}/out").collect()}
+    assert got == {i: (len(t), n) for i, (t, n) in enumerate(zip(texts, tokenise.count_tokens(texts, path)))}
+
+
 def test_cache_encodes_misses_only(spark, tmp_path, monkeypatch):
     path, cache = queries.tokenizer_file("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
     first = token_counts.count_tokens(spark, frame(spark, ["a b", "a b", "c", None]), path, cache).collect()

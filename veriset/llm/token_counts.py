@@ -4,6 +4,7 @@ A text is identified by the SHA-256 of its normalised content (null is the empty
 change, or the count would), a tokenizer by that of its file. Counts are kept in a Parquet table
 (version, digest, n_tokens). Contents that aren't there are encoded once each, however many documents share them,
 and appended. Copies are merged before the shuffle, so a large group of copies costs one row a task.
+Tables are written in few files (``_in_few_files``).
 
 Empty texts have no tokens. Repeated rows each get a row. Extra columns are ignored; an empty table appends nothing.
 """
@@ -46,12 +47,21 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str, cache: str | N
     if known is not None:
         missing = missing.join(known, "digest", "left_anti")
     missing = missing.groupBy("digest").agg(F.first("text").alias("text"))
-    encode_missing(missing, path).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    _in_few_files(encode_missing(missing, path)).select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = _known(spark, cache, version)
     if not fresh:  # runs at the same time may have appended a digest twice
-        counts = cut(spark, counts.dropDuplicates(["digest"]), "counts")
+        counts = cut(spark, _in_few_files(counts.dropDuplicates(["digest"])), "counts")
     # counts come from a table, so that the join may split a digest that many documents share
-    return d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    return _in_few_files(d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens"))
+
+
+def _in_few_files(counts: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly to as many partitions as the cluster has cores, however many those of the shuffles are.
+
+    On a local file system without Hadoop's native library each file that is made forks the executor several times
+    (for chmod), and until such a child runs its own program the executor's memory is its memory too.
+    """
+    return counts.repartition(counts.sparkSession.sparkContext.defaultParallelism)
 
 
 def _known(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
