@@ -350,6 +350,41 @@ def test_repeated_passages_go_whole(spark, lines, words):
         assert got[2 * k] == texts[2 * k] and got[2 * k + 1].split() == f"{a} {b} {c} {d}".split()
 
 
+def test_ranges_have_the_least_passages(spark):
+    rng = random.Random(9)
+    texts = []
+    for most in (3, 12, 30, 60):  # words of a line
+        for _ in range(6):
+            lines = [rng.choice(("  ", " ", "\t", " ")).join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, most))) for _ in range(rng.randint(1, 90))]
+            texts.append("".join(rng.choice(("", " ")) + x + rng.choice(("\n", " \n", ".\n \n", "\t\n\n")) for x in lines))
+    stored = cut(spark, line_dedup.cut_lines(frame(spark, texts)), "lines")
+    rows, asked = {r.doc_id: r for r in stored.collect()}, []
+    for i, r in rows.items():
+        solid = [x.strip() for x in r.lines if x.strip()]
+        assert "".join(r.lines) == texts[i] and [r.lines[k].strip() for k in r["at"]] == solid and r.words == [len(x.split()) for x in solid]
+        gaps = {rng.randrange(len(solid)) for _ in range(rng.randint(0, 5))}
+        asked.append((i, [(j, h) for j, h in enumerate(r.hs) if j not in gaps]))
+    found = line_dedup.ranges(stored.join(spark.createDataFrame(asked, "doc_id long, asked array<struct<j: int, h: long>>"), "doc_id"))
+    # no expression over each line again: what made up most of the pipeline's line dedup
+    assert "regexp" not in (plan := found._jdf.queryExecution().optimizedPlan().toString().lower()) and "rlike" not in plan
+    for r in found.collect():
+        words, here, want = rows[r.doc_id].words, {j for j, _ in dict(asked)[r.doc_id]}, set()
+        for a in range(len(words)):
+            one = next((b for b in range(a, len(words)) if sum(words[a : b + 1]) >= line_dedup.WORDS), None)
+            other = next((b for b in range(a, -1, -1) if sum(words[b : a + 1]) >= line_dedup.WORDS), None)
+            want |= {(a, one)} if one is not None and here.issuperset(range(a, one + 1)) else set()
+            want |= {(other, a)} if other is not None and here.issuperset(range(other, a + 1)) else set()
+        got = [(u.p, u.q) for u in r.units if u.p is not None]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert all(r.solid[u.p : u.q + 1] == [x.strip() for x in r.lines[u.i : u.e + 1] if x.strip()] for u in r.units if u.p is not None)
+
+
+def test_blanks_before_other_line_ends_count(spark):
+    # U+2028 is no white space here: these texts differ in a word
+    texts = [" ".join(f"w{i}" for i in range(60)) + end for end in (" \u2028", "\u2028")]
+    assert {r.doc_id: r.text for r in line_dedup.apply(spark, frame(spark, texts)).collect()} == dict(enumerate(texts))
+
+
 def test_periodic_text_keeps_its_first_passage(spark):
     line = " ".join(f"w{i}" for i in range(20)) + ".\n"
     got = {r.doc_id: r.text for r in line_dedup.apply(spark, frame(spark, [line * 40, line * 2])).collect()}

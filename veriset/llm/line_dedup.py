@@ -15,6 +15,8 @@ Texts are cut into chunks once; the table of chunks is written, and the steps re
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ LINE_END = r"(?<=\n)|(?<=[.!?] )"
 LONG, LEAST = 300, 60
 #: Repeated passages of so many words go in ``apply``, whatever their lines.
 WORDS = 50
-BLANK = r"^[\x20\x09-\x0D]*$"
+#: The white space around lines.
+WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: A chunk ends where the last hexadecimal digit of the rolling hash is one of these: after every second line on average.
 ENDS = list("02468ace")
 
@@ -32,10 +35,12 @@ ENDS = list("02468ace")
 def chunked(docs: DataFrame, keep: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """(doc_id, *keep, bodies, hs): the bodies, joined, are the text; hs has the hash of each chunk that counts, null for the others.
 
-    Of the columns to keep, text is kept as whether it is null. With ``lines``, (doc_id, *keep, lines, chunks) instead: the lines, and the
-    first and last line (i, e) of the chunks that count.
+    Of the columns to keep, text is kept as whether it is null. With ``lines``, (doc_id, *keep, odd, lines, chunks) instead: whether there is other white space
+    than blanks and line breaks, the lines, and the first and last line (i, e) of the chunks that count.
     """
     keep = [(F.col(c).isNull() if c == "text" else F.col(c)).alias(f"__{c}") for c in keep]
+    if lines:
+        keep.append(reduce(lambda a, b: a | b, [F.contains(text_of(), F.lit(c)) for c in "\t\x0b\x0c\r"]).alias("odd"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.filter(F.split(text_of(), LINE_END), lambda x: x != "").alias("lines"))
     d = d.select("*", F.transform("lines", lambda x: F.md5(x)).alias("h"), F.transform("lines", lambda x: F.length(x) >= LONG).alias("long"), F.size("lines").alias("n"))
     h, long, n = F.col("h"), F.col("long"), F.col("n")
@@ -44,11 +49,13 @@ def chunked(docs: DataFrame, keep: tuple[str, ...] = (), lines: bool = False) ->
     d = d.withColumn("ends", F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), ends_here)).otherwise(F.array().cast("array<int>")))
     whole, ends = F.col("lines"), F.col("ends")
     first = lambda j: F.coalesce(F.get(ends, j - 1) + 1, F.lit(0))
+    if lines:
+        d = d.withColumn("sizes", F.transform("lines", lambda x: F.length(x).cast("long")))
+        sized = F.transform(ends, lambda e, j: F.struct(first(j).alias("i"), e.alias("e"), F.aggregate(_part("sizes", first(j), e - first(j) + 1), F.lit(0).cast("long"), lambda s, x: s + x).alias("n")))
+        chunks = F.filter(sized, lambda x: (x["n"] >= LEAST) & ((x["e"] > x["i"]) | (x["n"] >= LONG)))
+        return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], "odd", "lines", F.transform(chunks, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"))).alias("chunks"))
     d = d.withColumn("bodies", F.transform(ends, lambda e, j: F.array_join(F.slice(whole, first(j) + 1, e - first(j) + 1), "")))
     counts = lambda b, j: (F.length(b) >= LEAST) & ((F.get(ends, j) > first(j)) | (F.length(b) >= LONG))
-    if lines:
-        chunks = F.transform("bodies", lambda b, j: F.when(counts(b, j), F.struct(first(j).alias("i"), F.get(ends, j).alias("e"))))
-        return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], "lines", F.filter(chunks, lambda x: x.isNotNull()).alias("chunks"))
     return d.select("doc_id", *[c for c in d.columns if c.startswith("__")], "bodies", F.transform("bodies", lambda b, j: F.when(counts(b, j), F.xxhash64(b))).alias("hs"))
 
 
@@ -102,7 +109,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.btrim(line, F.lit(WHITE))
 
 
 def _part(column: str, start: Column, n: Column) -> Column:
@@ -110,14 +117,22 @@ def _part(column: str, start: Column, n: Column) -> Column:
     return F.transform(F.sequence(start, start + n - 1), lambda t: F.get(column, t))
 
 
-def _reach(k: Column, step: int, most: int = WORDS) -> Column:
-    """100 times the words of the lines from ``k`` on (or back), as far as it takes to have ``WORDS`` of them, and the number of these lines.
+def _reach(k: Column) -> Column:
+    """The number of lines from ``k`` on that it takes to have ``WORDS`` words, from the columns words, two and four: sums of so many lines.
 
-    Each line has one word at least, so ``WORDS`` lines suffice. Less than 100 * ``WORDS``, or null, if all are too few, or if ``most`` lines
-    are. One number, as structs cost several times as much.
+    Null if there are too few. Eight lines are enough nearly always; only where they aren't, all are tried. Each line has one word at least,
+    so ``WORDS`` lines suffice.
     """
-    steps = F.array(*[F.lit(step * t) for t in range(most)])
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda a, t: F.when(a >= 100 * WORDS, a).otherwise(a + F.get("words", k + t) * 100 + 1))
+    one, two, four = (lambda t, c=c: F.get(c, k + t if t else k) for c in ("words", "two", "four"))
+    full = lambda x: x >= WORDS
+    steps = F.array(*[F.lit(t) for t in range(WORDS)])
+    # one number, 100 times the words and the lines, as structs cost several times as much
+    far = F.aggregate(steps, F.lit(0).cast("long"), lambda a, t: F.when(a >= 100 * WORDS, a).otherwise(a + F.get("words", k + t) * 100 + 1), lambda a: F.when(a >= 100 * WORDS, (a % 100).cast("int")))
+    up_to_2 = F.when(full(one(0)), 1).otherwise(2)
+    up_to_4 = F.when(full(two(0)), up_to_2).otherwise(F.when(full(two(0) + one(2)), 3).otherwise(4))
+    up_to_6 = F.when(full(four(0) + one(4)), 5).otherwise(6)
+    up_to_8 = F.when(full(four(0) + two(4)), up_to_6).otherwise(F.when(full(four(0) + two(4) + one(6)), 7).otherwise(8))
+    return F.when(full(four(0)), up_to_4).when(full(four(0) + four(4)), up_to_8).otherwise(far)
 
 
 def cut_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -127,18 +142,22 @@ def cut_lines(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     d = chunked(docs, keep, lines=True)
     keep = [c for c in d.columns if c.startswith("__")]
-    d = d.select("doc_id", *keep, "lines", "chunks", F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), lambda i: ~F.get("lines", i).rlike(BLANK)).alias("at"))
-    d = d.select("*", F.transform("at", lambda i: _trimmed(F.get("lines", i))).alias("solid"))
-    words = F.transform("solid", lambda x: F.size(F.split(x, r"[\x20\x09-\x0D]+")).cast("long"))
+    d = d.select("*", F.transform("lines", _trimmed).alias("bare"))
+    d = d.select("*", F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), lambda i: F.get("bare", i) != "").alias("at"), F.filter("bare", lambda x: x != "").alias("solid"))
+    # where words have one blank between them, as nearly everywhere, blanks are counted: an expression takes several times as long
+    blanks = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit("")))
+    split = lambda x: F.size(F.split(x, r"[\x20\x09-\x0D]+"))
+    words = F.transform("solid", lambda x: F.when(F.col("odd") | F.contains(x, F.lit("  ")), split(x)).otherwise(blanks(x) + 1).cast("long"))
     return d.select("doc_id", *keep, F.xxhash64("lines").alias("version"), "lines", "chunks", "at", words.alias("words"), F.transform("solid", lambda x: F.xxhash64(x)).alias("hs"))
 
 
 def ranges(known: DataFrame) -> DataFrame:
-    """(doc_id, version, lines, units) of ``cut_lines`` with ``asked``, the lines (j, h) that occur elsewhere: units are the ranges to compare, as structs (i, e, passage).
+    """(doc_id, version, lines, solid, units) of ``cut_lines`` with ``asked``, the lines (j, h) that occur elsewhere: units are the ranges to compare, as structs (i, e, p, q).
 
     Units are the chunks that count and end in such a line, and passages: the least ones of ``WORDS`` words or more that start, or that end,
     with each line, inside runs of such lines. So each line of a repeated run of lines with ``WORDS`` words lies in a passage that is
-    repeated, wherever the run stands. i and e are the places of the first and last line.
+    repeated, wherever the run stands. i and e are the places of the first and last line, p and q, null in chunks,
+    those among ``solid``, the lines that aren't blank without the white space around them.
     """
     # rows that share a doc_id are told apart by the hash at the place
     mine = F.filter("asked", lambda x: F.get("hs", x["j"]) == x["h"])
@@ -147,30 +166,30 @@ def ranges(known: DataFrame) -> DataFrame:
     starts = F.filter(js, lambda x, k: F.coalesce(F.get(js, k - 1) != x - 1, F.lit(True)))
     stops = F.filter(js, lambda x, k: F.coalesce(F.get(js, k + 1) != x + 1, F.lit(True)))
     runs = F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    enough = lambda r: F.aggregate(_part("words", r["a"], r["b"] - r["a"] + 1), F.lit(0).cast("long"), lambda s, w: s + w) >= WORDS
-    d = d.select("*", F.filter(runs, enough).alias("runs"))
-    places = F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["a"], r["b"]), lambda p: F.struct(p.alias("p"), r["a"].alias("a"), r["b"].alias("b")))))
-    d = d.select("*", places.alias("places"))
-    size = lambda x: (x["n"] % 100).cast("int")
-    # few lines are enough nearly always; only where they aren't, all are tried
-    few = lambda edge, step: F.transform("places", lambda x: F.struct(x["p"].alias("p"), x[edge].alias(edge), _reach(x["p"], step, 8).alias("n")))
-    far = lambda x, step: F.when(x["n"] >= 100 * WORDS, x["n"]).otherwise(_reach(x["p"], step))
-    on = F.transform(few("b", 1), lambda x: F.struct(x["p"].alias("p"), x["b"].alias("b"), far(x, 1).alias("n")))
-    pair = lambda p, q: p.cast("long") * (1 << 32) + q  # noqa: E731  plain numbers, as structs are told apart one by one
-    on = F.transform(F.filter(on, lambda x: (x["n"] >= 100 * WORDS) & (x["p"] + size(x) - 1 <= x["b"])), lambda x: pair(x["p"], x["p"] + size(x) - 1))
-    back = F.transform(few("a", -1), lambda x: F.struct(x["p"].alias("q"), x["a"].alias("a"), far(x, -1).alias("n")))
-    back = F.transform(F.filter(back, lambda x: (x["n"] >= 100 * WORDS) & (x["q"] - size(x) + 1 >= x["a"])), lambda x: pair(x["q"] - size(x) + 1, x["q"]))
+    with_later = lambda c, n: F.transform(c, lambda x, k: x + F.coalesce(F.get(c, k + n), F.lit(0)))
+    d = d.withColumn("two", with_later("words", 1))
+    d = d.withColumn("four", with_later("two", 2))
+    end = lambda p: p + _reach(p) - 1  # noqa: E731  of the least passage from there on
+    runs = F.filter(runs, lambda r: end(r["a"]) <= r["b"])
+    # those that have a passage are the first lines of a run
+    qs = lambda r: F.filter(F.transform(F.sequence(r["a"], r["b"]), end), lambda q: q <= r["b"])
+    d = d.select("*", F.transform(runs, lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), qs(r).alias("qs"))).alias("runs"))
     # a passage goes on over blank lines up to the next line that isn't
     last = lambda q: F.coalesce(F.get(at, q + 1), F.size("lines")) - 1
-    first_of, last_of = lambda x: F.shiftright(x, 32).cast("int"), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    passages = F.transform(F.array_distinct(F.concat(on, back)), lambda x: F.struct(F.get(at, first_of(x)).alias("i"), last(last_of(x)).alias("e"), F.lit(True).alias("passage")))
+    unit = lambda p, q: F.struct(F.get(at, p).alias("i"), last(q).alias("e"), p.alias("p"), q.alias("q"))
+    # the least passage that ends with a line starts with the last one whose own ends there or before: up to where that of the next ends
+    until = lambda r, q, k: F.greatest(q, F.coalesce(F.get(r["qs"], k + 1) - 1, r["b"]))
+    of_line = lambda r, q, k: F.transform(F.sequence(q, until(r, q, k)), lambda t: unit(r["a"] + k, t))
+    passages = F.flatten(F.flatten(F.transform("runs", lambda r: F.transform(r["qs"], lambda q, k: of_line(r, q, k)))))
     # whether each line occurs elsewhere: the gap before each of them, and what follows the last
     flags = F.flatten(F.transform(js, lambda j, k: F.concat(F.array_repeat(F.lit(False), F.get(at, j) - F.coalesce(F.get(at, F.get(js, k - 1)), F.lit(-1)) - 1), F.array(F.lit(True)))))
     d = d.select("*", passages.alias("passages"), flags.alias("flags"))
-    chunks = F.filter("chunks", lambda x: F.coalesce(F.get("flags", x["e"]), F.lit(False)) | F.get("lines", x["e"]).rlike(BLANK))
-    chunks = F.transform(chunks, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), F.lit(False).alias("passage")))
+    chunks = F.filter("chunks", lambda x: F.coalesce(F.get("flags", x["e"]), F.lit(False)) | (_trimmed(F.get("lines", x["e"])) == ""))
+    none = F.lit(None).cast("int")
+    chunks = F.transform(chunks, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), none.alias("p"), none.alias("q")))
     # flags stands twice here, or the optimiser would put its making into the lambda and so make it for every chunk
-    return d.select("doc_id", "version", "lines", F.concat("passages", F.when(F.size("flags") >= 0, chunks)).alias("units"))
+    units = F.concat("passages", F.when(F.size("flags") >= 0, chunks)).alias("units")
+    return d.select("doc_id", "version", "lines", F.transform("at", lambda i: _trimmed(F.get("lines", i))).alias("solid"), units)
 
 
 def repeated_ranges(spark: SparkSession, stored: DataFrame) -> DataFrame:
@@ -180,9 +199,9 @@ def repeated_ranges(spark: SparkSession, stored: DataFrame) -> DataFrame:
     asked, twice = _again(spark, keys, "h")
     asked = cut(spark, asked.groupBy("doc_id").agg(F.collect_set(F.struct("j", "h")).alias("asked")), "asked")
     release(spark, twice)
-    its = lambda x: _part("lines", x["i"], x["e"] - x["i"] + 1)
-    words = lambda x: F.array_join(F.transform(F.filter(its(x), lambda y: ~y.rlike(BLANK)), _trimmed), "\n")
-    exact = lambda x: F.when(x["passage"], F.concat(F.lit("p"), words(x))).otherwise(F.concat(F.lit("c"), F.array_join(its(x), "")))
+    passage = lambda x: F.concat(F.lit("p"), F.array_join(_part("solid", x["p"], x["q"] - x["p"] + 1), "\n"))
+    chunk = lambda x: F.concat(F.lit("c"), F.array_join(_part("lines", x["i"], x["e"] - x["i"] + 1), ""))
+    exact = lambda x: F.when(x["p"].isNotNull(), passage(x)).otherwise(chunk(x))
     found = ranges(stored.join(asked, "doc_id"))
     found = found.select(*row, F.inline(F.transform("units", lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), _digest(exact(x)).alias("s")))))
     found = cut(spark, found, "ranges")
